@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strataloom.functions.ids import uuid_of
-from strataloom.llm import packing, splitting, tokenizing
+from strataloom.llm import neighbours, packing, splitting, tokenizing
 from strataloom.sources.tables import one_per_id, table
 
 #: Folder of the public tokenizers; a parameter, never copied.
@@ -13,6 +13,16 @@ TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
 
 
+def p1_neighbours(spark, d):
+    rows = table(spark, d, "knowledge").select(uuid_of("id").alias("id"), "embedding")
+    return neighbours.most_similar(rows)
+
+
+def p1_found(spark, d):
+    pairs = p1_neighbours(spark, d).select("id", F.explode("neighbours").alias("o")).filter(F.col("o.similarity") >= 0.9)
+    return pairs.select(F.least("id", "o.id").alias("id_lo"), F.greatest("id", "o.id").alias("id_hi")).distinct()
+
+
 def p3_pieces(spark, d):
     # deliveries of one record are alike: their rows are folded before the texts are split
     long = table(spark, d, "knowledge").select(uuid_of("id").alias("id"), "content").filter(F.length("content") > 2 * splitting.MAX_WORDS)
@@ -40,5 +50,5 @@ stretches as (
 select id, case when max(len(regexp_extract_all(stretch, '[^{_SPACE}]+'))) > 400 then 'forced' else 'natural' end as cut from stretches group by id
 """
 
-QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p6_ids": p6_ids, "p7_containers": p7_containers}
+QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_ids": p6_ids, "p7_containers": p7_containers}
 ORACLES = {"p3_found": _P3}

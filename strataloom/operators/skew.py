@@ -28,3 +28,19 @@ def hot_key_join(big: DataFrame, small: DataFrame, key: str, spread_by: Column,
         .drop("_pieces")
     )
     return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
+#: Rows of the sketch that sketch_semi broadcasts; each holds 63 bits.
+SKETCH_ROWS = 1 << 17
+
+
+def sketch_semi(big: DataFrame, keys: DataFrame, key: str, rows: int = SKETCH_ROWS) -> DataFrame:
+    """Most rows of ``big`` whose ``key`` isn't in ``keys`` go, no other row does: what a join that follows
+    would drop needn't be shuffled. The sketch is a bit set of fixed size (``rows`` rows at most), so it may be
+    broadcast whatever the number of keys; with many more keys than bits it merely keeps more rows.
+    """
+    h = F.xxhash64(key)
+    row = F.pmod(h, F.lit(rows)).alias("_row")
+    bit = lambda: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.shiftright(F.xxhash64(key), 24), F.lit(63)).cast("int"))
+    sketch = keys.filter(F.col(key).isNotNull()).select(row, bit().alias("_bit")).groupBy("_row").agg(F.bit_or("_bit").alias("_bits"))
+    return big.withColumn("_row", row).join(F.broadcast(sketch), "_row").filter(F.col("_bits").bitwiseAND(bit()) != 0).drop("_row", "_bits")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strataloom.functions.ids import uuid_of
-from strataloom.llm import neighbours, packing, splitting, tokenizing
+from strataloom.llm import neighbours, packing, spans, splitting, tokenizing
 from strataloom.sources.tables import one_per_id, table
 
 #: Folder of the public tokenizers; a parameter, never copied.
@@ -41,6 +41,15 @@ def p7_containers(spark, d):
     return packing.pack(tokenizing.encode(table(spark, d, "documents"), BYTE_BPE, counts_only=True))
 
 
+def p8_found(spark, d):
+    return spans.shared_spans(table(spark, d, "documents"))
+
+
+def p8_shares(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return spans.shared_share(docs, spans.shared_spans(docs))
+
+
 _SPACE = r"\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 _P3 = rf"""
 with texts as (select lower(id) as id, any_value(content) as content from knowledge where length(content) > 800 group by 1),
@@ -50,5 +59,5 @@ stretches as (
 select id, case when max(len(regexp_extract_all(stretch, '[^{_SPACE}]+'))) > 400 then 'forced' else 'natural' end as cut from stretches group by id
 """
 
-QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_ids": p6_ids, "p7_containers": p7_containers}
+QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found, "p8_shares": p8_shares}
 ORACLES = {"p3_found": _P3}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strataloom.functions.ids import uuid_of
-from strataloom.llm import neighbours, packing, spans, splitting, tokenizing
+from strataloom.llm import neardup, neighbours, packing, spans, splitting, tokenizing
 from strataloom.sources.tables import one_per_id, table
 
 #: Folder of the public tokenizers; a parameter, never copied.
@@ -23,6 +23,19 @@ def p1_found(spark, d):
     return pairs.select(F.least("id", "o.id").alias("id_lo"), F.greatest("id", "o.id").alias("id_hi")).distinct()
 
 
+def _similar(spark, d):
+    rows = table(spark, d, "knowledge").select(uuid_of("id").alias("id"), "content")
+    return neardup.similar_classes(rows, width=3, threshold="0.6")
+
+
+def p2_found(spark, d):
+    return neardup.similar_pairs(*_similar(spark, d))
+
+
+def p2_groups(spark, d):
+    return neardup.groups(*_similar(spark, d))
+
+
 def p3_pieces(spark, d):
     # deliveries of one record are alike: their rows are folded before the texts are split
     long = table(spark, d, "knowledge").select(uuid_of("id").alias("id"), "content").filter(F.length("content") > 2 * splitting.MAX_WORDS)
@@ -59,5 +72,5 @@ stretches as (
 select id, case when max(len(regexp_extract_all(stretch, '[^{_SPACE}]+'))) > 400 then 'forced' else 'natural' end as cut from stretches group by id
 """
 
-QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found, "p8_shares": p8_shares}
+QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found, "p8_shares": p8_shares}
 ORACLES = {"p3_found": _P3}

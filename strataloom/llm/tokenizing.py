@@ -131,7 +131,7 @@ def _encoder(shared) -> WordEncoder:
     return _worker["encoder"]
 
 
-def _steps(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def steps_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of some STEP_WORDS words, a row at least."""
     ends = batch.column(1).offsets.to_numpy()
     row = 0
@@ -159,7 +159,7 @@ def encode(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_colu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _steps(batch):
+            for part in steps_of(batch):
                 encoder = _encoder(shared)
                 offsets, ids = encoder.encode(part.column(1))
                 if counts_only:

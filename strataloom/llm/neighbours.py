@@ -12,10 +12,12 @@ The codebooks are fitted on a bounded sample; every vector is coded, searched fo
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -153,18 +155,30 @@ def usable(rows: DataFrame, id_column: str, vector_column: str, s: Settings) ->
     return good.groupBy("id").agg(F.first("vec").alias("vec"))
 
 
-def classes(vectors: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
-    """Every id with its class (``id, rep``), and one row per direction: ``rep, vec, n, ids`` with the k + 1 smallest ids."""
-    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    steps = F.transform("vec", lambda x: F.round(x.cast("double") / F.col("_norm") * s.direction_steps).cast("int"))
-    keyed = vectors.withColumn("_norm", norm).select("id", F.xxhash64(F.lit(1), steps).alias("k1"), F.xxhash64(F.lit(2), steps).alias("k2"))
+def with_direction(vectors: DataFrame, s: Settings) -> DataFrame:
+    """``id, vec`` (packed) and ``k1, k2``: 128 bits that name the direction of the vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(batch.num_rows, s.dimensions)
+            unit = raw.astype(np.float64)
+            unit /= np.sqrt((unit * unit).sum(1))[:, None]
+            steps = np.rint(unit * s.direction_steps).astype(np.int32)
+            keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in steps), dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x.tobytes() for x in raw], pa.binary()), pa.array(keys[:, 0]), pa.array(keys[:, 1])], names=["id", "vec", "k1", "k2"])
+
+    return vectors.mapInArrow(run, "id string, vec binary, k1 bigint, k2 bigint")
+
+
+def classes(keyed: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """Every id with its class (``id, rep``), and one row per direction: ``rep, ids`` with the k + 1 smallest ids."""
+    keyed = keyed.select("id", "k1", "k2")
     order = Window.partitionBy("k1", "k2").orderBy("id")
     firsts = keyed.withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= s.k + 1)
     firsts = firsts.groupBy("k1", "k2").agg(F.array_sort(F.collect_list("id")).alias("ids"))  # k + 1 at most
-    counts = keyed.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    of_class = counts.join(firsts, ["k1", "k2"]).select(F.col("rep").alias("id"), "n", "ids")
-    members = hot_key_join(keyed.withColumn("k", F.concat_ws(":", "k1", "k2")), counts.select(F.concat_ws(":", "k1", "k2").alias("k"), "rep"), "k", F.col("id")).select("id", "rep")
-    return members, vectors.join(of_class, "id").select(F.col("id").alias("rep"), "vec", "n", "ids")
+    firsts = written(firsts.select(F.concat_ws(":", "k1", "k2").alias("k"), F.col("ids")[0].alias("rep"), "ids"), "neighbours-classes")
+    members = hot_key_join(keyed.select("id", F.concat_ws(":", "k1", "k2").alias("k")), firsts.select("k", "rep"), "k", F.col("id"))
+    return members.select("id", "rep"), firsts.select("rep", "ids")
 
 
 def _coder(shared, s: Settings):
@@ -173,12 +187,11 @@ def _coder(shared, s: Settings):
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                raw = part.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(part.num_rows, s.dimensions)
-                unit = raw.astype(np.float64)
+                unit = _matrix(part.column("vec"), np.float32, s.dimensions).astype(np.float64)
                 unit = (unit / np.sqrt((unit * unit).sum(1))[:, None]).astype(np.float32)
                 cell, codes, norms = beam_encode(unit, books, s.beam, s.coarse_books)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("rep"), part.column("ids"), pa.array([v.tobytes() for v in raw], pa.binary()), pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([v.tobytes() for v in norms], pa.binary())],
+                    [part.column("rep"), part.column("ids"), part.column("vec"), pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([v.tobytes() for v in norms], pa.binary())],
                     names=["rep", "ids", "vec", "cell", "codes", "norms"],
                 )
 
@@ -314,14 +327,17 @@ def most_similar(rows: DataFrame, id_column: str = "id", vector_column: str = "e
     """
     s = settings
     spark = rows.sparkSession
-    members, one_each = classes(usable(rows, id_column, vector_column, s), s)
-    base = written(one_each.withColumn("idx", F.monotonically_increasing_id()), "neighbours-classes")
-    n = base.count()
+    vectors = written(with_direction(usable(rows, id_column, vector_column, s), s), "neighbours-vectors")
+    n = vectors.count()
     if not n:
         return spark.createDataFrame([], "id string, neighbours array<struct<id:string,similarity:double>>")
+    members, firsts = classes(vectors, s)
+    base = vectors.select(F.col("id").alias("rep"), "vec").join(firsts, "rep")
     share = min(1 << 30, int((1 << 30) * s.sample / n) + 1)
-    picked = base.filter(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < share).select("vec").limit(2 * s.sample).toPandas()["vec"]
-    sample = np.stack(picked.to_list() if len(picked) else base.select("vec").limit(1).toPandas()["vec"].to_list()).astype(np.float64)
+    picked = vectors.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share).select("vec").limit(2 * s.sample).toArrow()
+    if not picked.num_rows:
+        picked = vectors.select("vec").limit(1).toArrow()
+    sample = _matrix(picked.column("vec"), np.float32, s.dimensions).astype(np.float64)
     sample = (sample / np.sqrt((sample * sample).sum(1))[:, None]).astype(np.float32)
     books = fit(sample, n, s)
     shared = spark.sparkContext.broadcast(books)  # at most most_cells + codebooks * codewords vectors

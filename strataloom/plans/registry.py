@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("lineage",)
+MODULES = ("lineage", "reports", "search", "taxonomy", "lifecycle", "sessions", "chunking")
 
 
 def collect() -> tuple[dict, dict]:

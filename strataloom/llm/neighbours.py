@@ -334,9 +334,10 @@ def most_similar(rows: DataFrame, id_column: str = "id", vector_column: str = "e
     members, firsts = classes(vectors, s)
     base = vectors.select(F.col("id").alias("rep"), "vec").join(firsts, "rep")
     share = min(1 << 30, int((1 << 30) * s.sample / n) + 1)
-    picked = vectors.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share).select("vec").limit(2 * s.sample).toArrow()
+    picked = vectors.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share).select("id", "vec").limit(2 * s.sample).toArrow()
     if not picked.num_rows:
-        picked = vectors.select("vec").limit(1).toArrow()
+        picked = vectors.select("id", "vec").limit(1).toArrow()
+    picked = picked.sort_by("id")  # the same codebooks whatever the order of the files
     sample = _matrix(picked.column("vec"), np.float32, s.dimensions).astype(np.float64)
     sample = (sample / np.sqrt((sample * sample).sum(1))[:, None]).astype(np.float32)
     books = fit(sample, n, s)

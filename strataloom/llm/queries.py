@@ -73,4 +73,25 @@ select id, case when max(len(regexp_extract_all(stretch, '[^{_SPACE}]+'))) > 400
 """
 
 QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found, "p8_shares": p8_shares}
-ORACLES = {"p3_found": _P3}
+_P1 = """
+with k as (select lower(id) as id, any_value(embedding)::double[] as v from knowledge
+  where len(embedding) = 64 and list_count(list_filter(embedding, lambda x: isfinite(x))) = 64 and list_count(list_filter(embedding, lambda x: x <> 0)) > 0 group by 1),
+s as (select a.id as a, b.id as b, list_cosine_similarity(a.v, b.v) as sim from k a join k b on a.id <> b.id),
+t as (select a, b, sim from s qualify row_number() over (partition by a order by round(sim, 9) desc, b) <= 10)
+select distinct least(a, b) as id_lo, greatest(a, b) as id_hi from t where sim >= 0.9
+"""
+_P2 = r"""
+with w as (select lower(id) as id, regexp_extract_all(lower(any_value(content)), '[\p{L}\p{N}]+') as w from knowledge where content is not null group by 1),
+g as (select distinct id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as gram from w where len(w) >= 3),
+n as (select id, count(*) as n from g group by 1),
+o as (select a.id as id_lo, b.id as id_hi, count(*) as o from g a join g b using (gram) where a.id < b.id group by 1, 2)
+select id_lo, id_hi from o join n x on x.id = id_lo join n y on y.id = id_hi where 8 * o >= 3 * (x.n + y.n)
+"""
+_P8 = """
+with w as (select doc_id, i, substring(text, (i + 1)::bigint, 200) as s from documents, unnest(generate_series(0, length(text) - 200)) as t(i) where length(text) >= 200),
+g as (select s from w group by s having min(doc_id) <> max(doc_id)),
+c as (select doc_id, i, case when i - lag(i) over (partition by doc_id order by i) <= 200 then 0 else 1 end as new from w semi join g using (s)),
+m as (select doc_id, i, sum(new) over (partition by doc_id order by i) as span from c)
+select doc_id, min(i)::int as span_start, (max(i) + 200 - min(i))::int as span_len from m group by doc_id, span
+"""
+ORACLES = {"p1_found": _P1, "p2_found": _P2, "p3_found": _P3, "p8_found": _P8}

@@ -1,10 +1,10 @@
 """Long exact spans shared between texts, found with a log-structured index of window hashes.
 
 Of every run of ``LENGTH`` characters the k-gram with the least hash is its anchor, so equal runs have equal
-anchors. The anchors of a batch of texts are written as one immutable run: a table bucketed and sorted by hash.
-A new batch is merge-joined with the runs of earlier batches, bucket by bucket and without a shuffle; runs are
-compacted into one as they become many. Around the anchors that occur in two texts the characters themselves
-are compared, and only what is equal character by character counts.
+anchors. The anchors of a batch of texts are written as one immutable run of the index: a table bucketed and sorted
+by hash that has the least and the greatest text of each hash. A new batch is merge-joined with the runs of earlier
+batches, bucket by bucket; runs are compacted into one as they become many. Around the anchors
+that occur in two texts the characters themselves are compared, and only what is equal character by character counts.
 
 Nothing is compared pair by pair: texts meet as least and greatest id per hash, per context of an anchor and
 per window of it, and all of these are combined before they are shuffled.
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strataloom.operators.skew import sketch_semi
+from strataloom.operators.skew import hot_key_join, sketch_semi
 from strataloom.session import shared_dir, written
 
 LENGTH = 200
@@ -127,10 +127,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 class SpanIndex:
-    """Immutable runs of anchors in the shared folder, each bucketed and sorted by hash.
+    """Immutable runs in the shared folder, each bucketed and sorted by hash: ``hash, lo, hi`` (least and greatest text).
 
-    ``add`` writes a batch as a new run, ``shared`` merge-joins runs, ``compact`` makes one run of all. A run is
-    never changed; a compaction writes a new one and then forgets the old ones.
+    ``add`` writes a batch of anchors as a new run, ``shared`` merge-joins the runs, ``compact`` makes one run of all. A
+    run is never changed; a compaction writes a new one and then forgets the old ones. A passage that a third of
+    all texts have is one row of a run: anchors are combined before they are shuffled.
     """
 
     def __init__(self, spark: SparkSession, most_runs: int = 4, buckets: int | None = None):
@@ -139,43 +140,45 @@ class SpanIndex:
         self.folder = f"{shared_dir(spark)}/spans-{uuid.uuid4().hex}"
         self.runs: list[str] = []
 
-    def _write(self, postings: DataFrame) -> str:
+    def _write(self, run: DataFrame) -> str:
         name = f"span_run_{uuid.uuid4().hex}"
-        postings.repartition(self.buckets, "hash").write.bucketBy(self.buckets, "hash").sortBy("hash").option("path", f"{self.folder}/{name}").saveAsTable(name)
+        run.write.bucketBy(self.buckets, "hash").sortBy("hash").option("path", f"{self.folder}/{name}").saveAsTable(name)
         return name
 
     def add(self, postings: DataFrame) -> None:
-        self.runs.append(self._write(postings))
+        """``postings``: ``hash, doc`` of the batch."""
+        self.runs.append(self._write(postings.groupBy("hash").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))))
         if len(self.runs) > self.most_runs:
             self.compact()
 
+    def merged(self) -> DataFrame:
+        """All runs as one: ``hash, lo, hi``. Two runs are merged where their buckets lie; with more, what is merged moves on."""
+
+        def merge(a: DataFrame, b: DataFrame) -> DataFrame:
+            both = a.join(b.select("hash", F.col("lo").alias("lo2"), F.col("hi").alias("hi2")).hint("merge"), "hash", "full")
+            return both.select("hash", F.least("lo", "lo2").alias("lo"), F.greatest("hi", "hi2").alias("hi"))
+
+        return reduce(merge, map(self.spark.table, self.runs))
+
     def compact(self) -> None:
         old = self.runs
-        self.runs = [self._write(self.postings())]
+        self.runs = [self._write(self.merged())]
         for name in old:
             self.spark.sql(f"drop table {name}")
 
-    def postings(self) -> DataFrame:
-        return reduce(DataFrame.unionByName, map(self.spark.table, self.runs))
-
-    def close(self) -> None:
-        for name in self.runs:
-            self.spark.sql(f"drop table if exists {name}")
-
     def shared(self) -> DataFrame:
         """Hashes that occur in two texts at least, whether of one run or of two."""
-        ends = [self.spark.table(r).groupBy("hash").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")) for r in self.runs]
+        return self.merged().filter("lo < hi").select("hash")
 
-        def merge(a: DataFrame, b: DataFrame) -> DataFrame:
-            both = a.join(b.select("hash", F.col("lo").alias("lo2"), F.col("hi").alias("hi2")).hint("merge"), "hash", "full")
-            return both.select("hash", F.least("lo", "lo2").alias("lo"), F.greatest("hi", "hi2").alias("hi"))
+    def known(self, postings: DataFrame) -> DataFrame:
+        """The hashes of a new batch that texts of earlier batches have."""
+        new = postings.groupBy("hash").agg(F.min("doc").alias("_lo"), F.max("doc").alias("_hi"))
+        met = new.join(self.merged().hint("merge"), "hash")
+        return met.filter(~((F.col("lo") == F.col("hi")) & (F.col("lo") == F.col("_lo")) & (F.col("lo") == F.col("_hi")))).select("hash")
 
-        return reduce(merge, ends).filter("lo < hi").select("hash")
-
-    def matches(self) -> DataFrame:
-        """The postings of shared hashes."""
-        shared = self.shared()
-        return reduce(DataFrame.unionByName, [self.spark.table(r).join(shared.hint("merge"), "hash", "left_semi") for r in self.runs])
+    def close(self) -> None:
+        for name in self.runs:
+            self.spark.sql(f"drop table if exists {name}")
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,10 +295,14 @@ def shared_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     spark = docs.sparkSession
     texts = docs.select(F.col(id_column).cast("bigint").alias("doc"), F.col(text_column).alias("text")).filter(F.col("doc").isNotNull() & (F.length("text") >= LENGTH))
     index = SpanIndex(spark)
+    postings = []
     for b in range(batches):
-        index.add(fingerprints(texts.filter(F.pmod(F.xxhash64("doc"), F.lit(batches)) == b)))
-    anchors = written(index.matches(), "spans-anchors")
+        postings.append(written(fingerprints(texts.filter(F.pmod(F.xxhash64("doc"), F.lit(batches)) == b)), "spans-postings"))
+        index.add(postings[-1])
+    shared = written(index.shared(), "spans-shared")
     index.close()
+    every = reduce(DataFrame.unionByName, postings)
+    anchors = written(hot_key_join(sketch_semi(every, shared, "hash"), shared, "hash", F.col("doc")), "spans-anchors")
     places = anchors.groupBy("doc").agg(F.array_distinct(F.collect_list(F.struct("pos", "hash"))).alias("found"))  # as many as the text has
     kept = sketch_semi(texts, anchors.select("doc"), "doc").join(places, "doc").select("doc", "text", "found")
     around = kept.mapInArrow(_contexts, "hash bigint, doc bigint, pos int, lead int, context string")
@@ -314,7 +321,9 @@ def shared_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     if any_hot:
         ranges = ranges.unionByName(_frequent_ranges(alike.join(hot, "hash", "left_semi")))
     of_context = ranges.groupBy(*_KEYS).agg(F.collect_list(F.struct("first", "last")).alias("ranges"))  # REACH + 1 at most
-    spans = around.drop("context").join(of_context, _KEYS).select("doc", "pos", F.explode("ranges").alias("r"))
+    name = F.concat_ws(":", *_KEYS).alias("name")
+    placed = hot_key_join(around.select("doc", "pos", name), of_context.select(name, "ranges"), "name", F.col("doc"))
+    spans = placed.select("doc", "pos", F.explode("ranges").alias("r"))
     spans = spans.select("doc", (F.col("pos") - F.col("r.last")).alias("start"), (F.col("pos") - F.col("r.first") + LENGTH).alias("stop"))
     by_start = Window.partitionBy("doc").orderBy("start", "stop")  # as many rows as the text has anchors
     before = F.max("stop").over(by_start.rowsBetween(Window.unboundedPreceding, -1))

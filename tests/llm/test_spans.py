@@ -76,3 +76,43 @@ def test_segments_and_empty(spark, monkeypatch):
         got[size] = set(rows)
     assert got[S.SEGMENT] == got[1 << 20]
     assert S.shared_spans(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_index_batches_and_compaction(spark):
+    """Runs merge to the same index however the corpus arrives, and a new batch finds what earlier ones have."""
+    texts = {i: t for i, t in corpus(7).items() if t}
+    df = spark.createDataFrame(list(texts.items()), "doc bigint, text string")
+    parts = [S.fingerprints(df.filter(f"doc % 5 = {b}")) for b in range(5)]
+    whole, single = S.SpanIndex(spark, most_runs=9), S.SpanIndex(spark, most_runs=1)
+    for p in parts[:4]:
+        whole.add(p)
+        single.add(p)
+    assert len(whole.runs) == 4 and len(single.runs) == 1
+    rows = lambda i: sorted(map(tuple, i.merged().collect()))
+    assert rows(whole) == rows(single)
+    old = {r["hash"] for p in parts[:4] for r in p.collect()}
+    assert {r[0] for r in single.known(parts[4]).collect()} == old & {r["hash"] for r in parts[4].collect()}
+    whole.add(parts[4])
+    seen = {}
+    for r in S.fingerprints(df).collect():
+        seen.setdefault(r["hash"], set()).add(r["doc"])
+    assert {r[0] for r in whole.shared().collect()} == {h for h, d in seen.items() if len(d) > 1}
+    two = S.SpanIndex(spark, most_runs=9)
+    two.add(parts[0])
+    two.add(parts[1])
+    plan = two.shared()._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange hash" not in plan
+    two.close()
+    whole.close()
+    single.close()
+
+
+def test_passage_of_a_third_of_all_texts(spark):
+    rng = random.Random(1)
+    word = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage = word(260)
+    texts = {i: word(150) + (passage + word(60) if i % 3 == 0 else word(200)) for i in range(9000)}
+    got = {tuple(r) for r in S.shared_spans(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"), frequent=1000).collect()}
+    at = {i: texts[i].index(passage) for i in texts if i % 3 == 0}
+    # texts may agree in a character or two beyond the passage by chance
+    assert {g[0] for g in got} == set(at) and all(p <= at[i] and p + n >= at[i] + 260 and n < 275 for i, p, n in got)

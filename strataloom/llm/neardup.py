@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.llm.tokenizing import steps_of
-from strataloom.operators.skew import sketch_semi
+from strataloom.operators.skew import hot_key_join, sketch_semi
 from strataloom.session import written
 
 #: Fixed: runs of letters and digits are words.
@@ -325,7 +325,9 @@ def similar_classes(rows: DataFrame, id_column: str = "id", text_column: str = "
     shared = spark.sparkContext.broadcast(table.tobytes())
     records = survey.filter("id is not null").select("id", "n", "k1", "k2")
     classes = written(records.groupBy("k1", "k2", "n").agg(F.min("id").alias("class_id")), "neardup-classes")
-    membership = records.join(classes.drop("n"), ["k1", "k2"]).select("id", "class_id").distinct()
+    set_name = F.concat_ws(":", "k1", "k2").alias("k")
+    membership = hot_key_join(records.select("id", set_name).distinct(), classes.select(set_name, "class_id"), "k", F.col("id"))
+    membership = written(membership.select("id", "class_id"), "neardup-members")
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * (1 - float(t))) // TASK_POSTINGS + 1)
 
@@ -347,7 +349,7 @@ def similar_classes(rows: DataFrame, id_column: str = "id", text_column: str = "
     links = held.groupBy("task").applyInArrow(_verifier(t), "a bigint, b bigint, similarity double")
     name = lambda c: classes.select(F.col("k1").alias(c), F.col("class_id").alias(f"id_{c}"))
     links = links.distinct().join(name("a"), "a").join(name("b"), "b")
-    return membership, links.select(F.least("id_a", "id_b").alias("class_lo"), F.greatest("id_a", "id_b").alias("class_hi"), "similarity")
+    return membership, written(links.select(F.least("id_a", "id_b").alias("class_lo"), F.greatest("id_a", "id_b").alias("class_hi"), "similarity"), "neardup-links")
 
 
 #: Classes of up to so many copies are written out as pairs of records; of larger ones each copy is paired
@@ -358,12 +360,12 @@ EXPAND = 200
 def similar_pairs(membership: DataFrame, links: DataFrame, expand: int = EXPAND) -> DataFrame:
     """``id_lo, id_hi``: pairs of records, copies included, from the two tables of similar_classes."""
     size = membership.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"))
-    shown = membership.join(size, "class_id").filter((F.col("n") <= expand) | (F.col("id") == F.col("class_id"))).select("class_id", "id")
+    shown = hot_key_join(membership, size, "class_id", F.col("id")).filter((F.col("n") <= expand) | (F.col("id") == F.col("class_id"))).select("class_id", "id")
     lo, hi = shown.select(F.col("class_id").alias("class_lo"), F.col("id").alias("x")), shown.select(F.col("class_id").alias("class_hi"), F.col("id").alias("y"))
     between = links.join(lo, "class_lo").join(hi, "class_hi").select(F.least("x", "y").alias("id_lo"), F.greatest("x", "y").alias("id_hi"))
     several = shown.join(size.filter(F.col("n").between(2, expand)).select("class_id"), "class_id", "left_semi")
     within = several.select("class_id", F.col("id").alias("id_lo")).join(several.select("class_id", F.col("id").alias("id_hi")), "class_id").filter("id_lo < id_hi").select("id_lo", "id_hi")
-    large = membership.join(size.filter(F.col("n") > expand).select("class_id"), "class_id", "left_semi").filter("id <> class_id")
+    large = hot_key_join(membership, size.filter(F.col("n") > expand).select("class_id"), "class_id", F.col("id")).filter("id <> class_id")
     return between.unionByName(within).unionByName(large.select(F.col("class_id").alias("id_lo"), F.col("id").alias("id_hi")))
 
 
@@ -388,5 +390,5 @@ def groups(membership: DataFrame, links: DataFrame, most_rounds: int = 40) -> Da
     else:
         raise RuntimeError("groups not settled; raise most_rounds")
     of_class = label.withColumnRenamed("u", "class_id").withColumnRenamed("l", "group_id").join(degree.withColumnRenamed("u", "class_id"), "class_id")
-    out = membership.join(of_class, "class_id", "left")
+    out = hot_key_join(membership, of_class, "class_id", F.col("id"), "left")
     return out.select("id", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

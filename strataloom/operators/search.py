@@ -7,7 +7,7 @@ question, and only these are shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -86,25 +86,26 @@ def vector_top(questions: DataFrame, rows: DataFrame, k: int = POOL, exclude_sel
     return found.withColumn("vector_rank", F.row_number().over(best) - 1).filter(F.col("vector_rank") < k)
 
 
-def postings(rows: DataFrame) -> DataFrame:
+def postings(rows: DataFrame, analyze: Callable[[str], Column] = content_terms) -> DataFrame:
     """Inverted index ``term, id, tf`` of ``id, content``: stop words left out."""
-    return rows.select("id", F.explode(content_terms("content")).alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
+    return rows.select("id", F.explode(analyze("content")).alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def question_terms(questions: DataFrame, text: str = "question") -> DataFrame:
+def question_terms(questions: DataFrame, text: str = "question", analyze: Callable[[str], Column] = content_terms) -> DataFrame:
     """``qid, term``: the distinct ones among the first 16 terms of each question."""
-    first = F.array_distinct(F.slice(content_terms(text), 1, MOST_TERMS))
+    first = F.array_distinct(F.slice(analyze(text), 1, MOST_TERMS))
     return questions.select("qid", F.explode(first).alias("term"))
 
 
-def lexical_top(questions: DataFrame, rows: DataFrame, k: int = POOL, exclude_self: bool = False) -> DataFrame:
+def lexical_top(questions: DataFrame, rows: DataFrame, k: int = POOL, exclude_self: bool = False, analyze: Callable[[str], Column] = content_terms) -> DataFrame:
     """For each question (``qid, question``) the ``k`` rows (``id, content``) with the greatest term score.
 
     The score is ours: the sum over matched terms of tf / (tf + 1.2), term saturation without length or idf. Columns
     ``qid, id, lexical_score, lexical_rank`` (from 0; ties to the smaller id). Terms are joined, so a question
-    meets only rows that share one with it.
+    meets only rows that share one with it. ``analyze`` gives the terms of a text (functions.analyzer.stems folds
+    English inflections).
     """
-    hits = postings(rows).join(question_terms(questions), "term")
+    hits = postings(rows, analyze).join(question_terms(questions, analyze=analyze), "term")
     if exclude_self:
         hits = hits.filter(F.col("qid") != F.col("id"))
     score = hits.groupBy("qid", "id").agg(F.round(F.sum(F.col("tf") / (F.col("tf") + 1.2)), 9).alias("lexical_score"))

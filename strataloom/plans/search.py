@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strataloom.functions.analyzer import stems
 from strataloom.functions.ids import uuid_of
 from strataloom.functions.text import snippet, terms_sql, title, word_count, words_sql
 from strataloom.functions.vectors import cosine, usable, usable_sql
@@ -55,6 +56,10 @@ def lexical_topk(spark, d):
     return _lexical(_corpus(spark, d), k=10).select("qid", "id", F.round("lexical_score", 6).alias("lexical_score"), "lexical_rank")
 
 
+def lexical_topk_stemmed(spark, d):
+    return _lexical(_corpus(spark, d), k=10, analyze=stems).select("qid", "id", F.round("lexical_score", 6).alias("lexical_score"), "lexical_rank")
+
+
 def hybrid_topk(spark, d):
     """Fusion, length penalty, the first five with their signals."""
     r = _ranked(_corpus(spark, d)).filter("place < 5")
@@ -138,7 +143,7 @@ def same_component_pairs(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        vector_topk, vector_topk_embeddings, lexical_topk, hybrid_topk, hybrid_modified, hybrid_dispatch, question_confidence, retrieval_quality, separation_margin, rank_gaps, skim, fetch_by_ids, same_component_pairs,
+        vector_topk, vector_topk_embeddings, lexical_topk, lexical_topk_stemmed, hybrid_topk, hybrid_modified, hybrid_dispatch, question_confidence, retrieval_quality, separation_margin, rank_gaps, skim, fetch_by_ids, same_component_pairs,
     )
 }
 

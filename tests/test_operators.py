@@ -158,3 +158,19 @@ def test_files(spark, tmp_path):
     assert got == {("markdown", "a/b"): "# One\ntext", ("markdown", "root"): "two", ("html", "root"): "Fish & chips\nb", ("docx", "root"): "## Head\n\nCafé"}
     pages = spark.createDataFrame([("f", "x" * 300), ("f", None), ("g", "x" * 10), ("h", "x" * 250)], "f string, text string")
     assert {r["f"]: r["kind"] for r in files.page_kinds(pages, "f").collect()} == {"f": "mixed", "g": "image", "h": "text"}
+
+
+def test_stems(spark):
+    from strataloom.functions.analyzer import stem, stems
+
+    pairs = {
+        "caresses": "caress", "ponies": "poni", "cats": "cat", "feed": "feed", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "sing": "sing", "conflated": "conflat", "hopping": "hop", "falling": "fall",
+        "filing": "file", "happy": "happi", "sky": "sky", "relational": "relat", "conditional": "condit", "triplicate": "triplic", "hopeful": "hope", "goodness": "good", "revival": "reviv", "adoption": "adopt",
+        "probate": "probat", "rate": "rate", "cease": "ceas", "controll": "control", "roll": "roll", "is": "is", "node7": "node7",
+    }
+    assert {w: stem(w) for w in pairs} == pairs
+    rows = spark.createDataFrame([("a", "Routers were routing the hopping packets"), ("b", None), ("c", "")], "id string, t string")
+    assert {r["id"]: r["s"] for r in rows.select("id", stems("t").alias("s")).collect()} == {"a": ["router", "rout", "hop", "packet"], "b": None, "c": []}
+    questions = spark.createDataFrame([("q", "router packet")], "qid string, question string")
+    found = S.lexical_top(questions, rows.withColumnRenamed("t", "content"), analyze=stems).collect()
+    assert [r["id"] for r in found] == ["a"]

@@ -115,3 +115,12 @@ def test_full_counts_meet_once():
                 assert not seen & set(pairs)
                 seen |= set(pairs)
     assert len(seen) == n * (n - 1) // 2
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(4)
+    words = [f"v{rng.randrange(5000)}" for _ in range(60_000)]
+    other = [w if rng.random() > 0.02 else "changed" for w in words]
+    rows = [("a", " ".join(words)), ("b", " ".join(other)), ("c", "x" * 1_000_000), ("d", "x" * 1_000_000 + " y z"), ("e", "x" * 1_000_000 + " y z")]
+    membership, links = D.similar_classes(spark.createDataFrame(rows, "id string, content string"), width=3, threshold="0.6")
+    assert {tuple(r) for r in D.similar_pairs(membership, links).collect()} == {("a", "b"), ("d", "e")}

@@ -116,3 +116,12 @@ def test_passage_of_a_third_of_all_texts(spark):
     at = {i: texts[i].index(passage) for i in texts if i % 3 == 0}
     # texts may agree in a character or two beyond the passage by chance
     assert {g[0] for g in got} == set(at) and all(p <= at[i] and p + n >= at[i] + 260 and n < 275 for i, p, n in got)
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(9)
+    long = "".join(rng.choices("abcdefghijklmnop qrst\n", k=S.SEGMENT + 60_000))
+    cut = long[S.SEGMENT - 300 : S.SEGMENT + 300]
+    texts = {1: long, 2: "#" * 500 + cut + "#" * 10, 3: "#" * 10 + long[1000:1199], 4: "z" * 50 + long[-250:]}
+    got = sorted(map(tuple, S.shared_spans(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()))
+    assert got == [(1, S.SEGMENT - 300, 600), (1, len(long) - 250, 250), (2, 500, 600), (4, 50, 250)]

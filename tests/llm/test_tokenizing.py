@@ -48,3 +48,12 @@ def test_words_beyond_one_query():
     e = T.WordEncoder(T.MergeTable(BYTE_BPE))
     e.learn(["b" * 700_000, "c" * 700_000, "ab"])
     assert all(len(e.kept[w]) for w in ("b" * 700_000, "ab")) and e.kept["ab"].dtype == np.int32
+
+
+def test_long_runs_in_the_pattern(spark):
+    lib = Tokenizer.from_file(BYTE_BPE)
+    lib.encode_special_tokens = True
+    texts = ["x" * 200_000, " " * 200_000 + "y", "1" * 50_000, "日本" * 3_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["ids"] for r in T.encode(df, BYTE_BPE).collect()}
+    assert [got[i] for i in range(4)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]

@@ -12,7 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -57,6 +57,12 @@ def _block_top(question_ids: list, kind: pa.DataType, vectors: np.ndarray, k: in
     return run
 
 
+def _first(rows: DataFrame, order: WindowSpec, k: int, name: str) -> DataFrame:
+    """The first ``k`` rows of each partition with their place from 0; in this form each task cuts its own rows
+    to ``k`` before the shuffle."""
+    return rows.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k).withColumn(name, F.col("_n") - 1).drop("_n")
+
+
 def vector_top(questions: DataFrame, rows: DataFrame, k: int = POOL, exclude_self: bool = False) -> DataFrame:
     """For each question (``qid, embedding``) its ``k`` most similar rows (``id, embedding``), exactly.
 
@@ -83,7 +89,7 @@ def vector_top(questions: DataFrame, rows: DataFrame, k: int = POOL, exclude_sel
         return questions.sparkSession.createDataFrame([], f"qid {kinds[0]}, id {kinds[1]}, similarity double, vector_rank int")
     best = Window.partitionBy("qid").orderBy(F.desc(F.round("similarity", 12)), "id")
     found = reduce(DataFrame.unionByName, parts)
-    return found.withColumn("vector_rank", F.row_number().over(best) - 1).filter(F.col("vector_rank") < k)
+    return _first(found, best, k, "vector_rank")
 
 
 def postings(rows: DataFrame, analyze: Callable[[str], Column] = content_terms) -> DataFrame:
@@ -110,7 +116,7 @@ def lexical_top(questions: DataFrame, rows: DataFrame, k: int = POOL, exclude_se
         hits = hits.filter(F.col("qid") != F.col("id"))
     score = hits.groupBy("qid", "id").agg(F.round(F.sum(F.col("tf") / (F.col("tf") + 1.2)), 9).alias("lexical_score"))
     best = Window.partitionBy("qid").orderBy(F.desc("lexical_score"), "id")
-    return score.withColumn("lexical_rank", F.row_number().over(best) - 1).filter(F.col("lexical_rank") < k)
+    return _first(score, best, k, "lexical_rank")
 
 
 def fuse(vector: DataFrame, lexical: DataFrame, k: int = RRF_K) -> DataFrame:
@@ -177,7 +183,7 @@ def rank(fused: DataFrame, rows: DataFrame, now: Column, boost: float = 1.0, hal
     if floor is not None:
         hits = hits.filter(F.col("similarity").isNull() | (F.col("similarity") >= floor))
     order = Window.partitionBy("qid").orderBy(F.desc("final_score"), F.asc_nulls_last("lexical_rank"), F.asc_nulls_last("vector_rank"), "id")
-    hits = hits.withColumn("place", F.row_number().over(order) - 1).filter(F.col("place") < pool)
+    hits = _first(hits, order, pool, "place")
     neighbour = F.when(F.col("place") <= 1, F.lead("final_score").over(Window.partitionBy("qid").orderBy("place")))
     agree = F.coalesce((F.col("lexical_rank") == 0) & (F.col("vector_rank") == 0), F.lit(False))
     return hits.withColumn("confidence", confidence(F.col("similarity"), F.col("final_score"), neighbour, F.col("word_count"), agree, chunked))

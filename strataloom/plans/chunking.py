@@ -132,7 +132,7 @@ ORACLES = {
         select id, md5('family:' || coalesce(created_by, '') || ':' || doc || ':' || coalesce(chunk_index, -1)::varchar || ':family:' || left(sha256(coalesce(content, '')), 12)) as chunk_id from k where doc is not null""",
     "ingest_ids": f"select id, md5(coalesce(created_by, '') || '|' || coalesce(domain, '') || '|' || coalesce(environment, '') || '|' || coalesce(system, '') || '|' || sha256(content)) as ingest_id from {one('content', 'created_by', 'domain', 'environment', 'system')} where content is not null",
     "titles": f"select id, split_part(regexp_replace(content, '^#+\\s*', ''), E'\\n', 1) as title from {one('content')}",
-    "min_length": "select source_type, count_if(coalesce(length(trim(text)) >= 80, false)) as n_kept, count_if(not coalesce(length(trim(text)) >= 80, false)) as n_dropped from documents group by 1",
+    "min_length": "select source_type, count(*) filter (where coalesce(length(trim(text)) >= 80, false)) as n_kept, count(*) filter (where not coalesce(length(trim(text)) >= 80, false)) as n_dropped from documents group by 1",
     "word_counts": f"select id, coalesce(len({words_sql('content')}), 0) as n_words from {one('content')}",
     "injection_flags": r"select doc_id, lower(regexp_extract(text, '(?i)\b(ignore (?:all|the|any) |disregard |system prompt|you must now )', 1)) as phrase from documents where regexp_extract(text, '(?i)\b(ignore (?:all|the|any) |disregard |system prompt|you must now )', 1) <> ''",
     "misfiled": rf"""select id, left(content, 140) as preview, epoch_us(created_at) // 1000000 as at_s from {one('domain', 'status', 'content', 'tags', 'created_at')} where domain in ('Personal', 'Study') and status = 'current'

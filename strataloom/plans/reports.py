@@ -143,8 +143,8 @@ ORACLES = {
     "drift_accounting": rf"""with k as {one('tags', 'domain')},
         b as (select distinct id from (select id, unnest(tags) as t from k) where t is not null and not regexp_matches(lower(trim(t)), '^(shape|component):') and t not in (select tag from tag_vocabulary)),
         x as (select id, id in (select id from b) as bad_tag, coalesce(domain not in ({_DOMAINS}), false) as bad_domain from k)
-        select count(*) as n, count_if(bad_tag) as n_bad_tag, count_if(bad_domain) as n_bad_domain, count_if(bad_tag or bad_domain) as n_drifted, count_if(not (bad_tag or bad_domain)) as n_clean,
-          case when count(*) = 0 then 'INCOMPLETE' when count_if(bad_tag or bad_domain) = 0 then 'CLEAN' else 'DRIFT' end as verdict from x""",
+        select count(*) as n, count(*) filter (where bad_tag) as n_bad_tag, count(*) filter (where bad_domain) as n_bad_domain, count(*) filter (where bad_tag or bad_domain) as n_drifted, count(*) filter (where not (bad_tag or bad_domain)) as n_clean,
+          case when count(*) = 0 then 'INCOMPLETE' when count(*) filter (where bad_tag or bad_domain) = 0 then 'CLEAN' else 'DRIFT' end as verdict from x""",
     "duplicate_keys": f"select system, component_key, count(*) as n from {one('status', 'system', 'component_key')} where status = 'current' and component_key is not null group by 1, 2 having count(*) > 1",
     "capability_usage": f"""with k as {one('valid_from', 'created_at', 'source', 'component_key', 'supersedes_id', 'tags')},
         x as (select 'organic_valid_from' as capability, avg((valid_from is distinct from created_at and not coalesce(starts_with(source, 'legacy-migration'), false))::int) as share from k
@@ -152,14 +152,14 @@ ORACLES = {
           union all select 'tags', avg(coalesce(len(tags) > 0, false)::int) from k)
         select *, case when share < 0.03 then 'fail' when share < 0.2 then 'warn' else 'ok' end as verdict from x""",
     "word_count_spread": f"""with w as (select coalesce(len({words_sql('content')}), 0) as v from {one('content')}), o as (select v, row_number() over (order by v) - 1 as i, count(*) over () as n from w)
-        select count(*) as n, min(v) as least, median(v) as median, max(case when i = floor(n * 0.9) then v end) as p90, max(v) as greatest, count_if(v < 30) as n_small from o""",
+        select count(*) as n, min(v) as least, median(v) as median, max(case when i = floor(n * 0.9) then v end) as p90, max(v) as greatest, count(*) filter (where v < 30) as n_small from o""",
     "section_fan_out": f"""with k as (select {ref('document_id')} as p, count(*) as k from {one('document_id')} where {ref('document_id')} is not null group by 1)
         select case when k = 1 then '1' when k <= 3 then '2-3' when k <= 6 then '4-6' else '7+' end as bucket, count(*) as n_parents, avg(k) as mean_sections, max(k) as most_sections from k group by 1""",
     "latest_per_owner": "select owner, id, query_text from query_log qualify row_number() over (partition by owner order by created_at desc nulls last, id desc) = 1",
     "top3_per_owner": "select owner, id, row_number() over (partition by owner order by created_at desc nulls last, id desc) as place from (select distinct owner, id, created_at, query_text from query_log) qualify place <= 3",
     "latest_per_domain": "select domain, doc_id, left(text, 300) as preview from documents qualify row_number() over (partition by domain order by created_at desc nulls last, doc_id desc) = 1",
-    "day_report": """select strftime(created_at at time zone 'UTC', '%Y-%m-%d') as day, coalesce(mode, '<null>') as mode, count(*) as n, count_if(coalesce(flagged, false)) as n_flagged, count(distinct owner) as n_owners
+    "day_report": """select strftime(created_at at time zone 'UTC', '%Y-%m-%d') as day, coalesce(mode, '<null>') as mode, count(*) as n, count(*) filter (where coalesce(flagged, false)) as n_flagged, count(distinct owner) as n_owners
         from (select distinct * from query_log) where created_at is not null group by 1, 2""",
-    "status_pivot": "select domain, " + ", ".join(f"count_if(coalesce(lower(trim(status)) = '{s}', false)) as n_{s}" for s in ("current", "draft", "historical", "superseded")) + f" from {one('domain', 'status')} group by domain",
+    "status_pivot": "select domain, " + ", ".join(f"count(*) filter (where coalesce(lower(trim(status)) = '{s}', false)) as n_{s}" for s in ("current", "draft", "historical", "superseded")) + f" from {one('domain', 'status')} group by domain",
     "hourly_revenue": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as hour, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2",
 }

@@ -202,7 +202,7 @@ ORACLES = {
     "retrieval_quality": _sql(
         """, x as (select r.qid, place, confidence, coalesce(a.system, '?') = coalesce(b.system, '?') as same_system, coalesce(a.domain, '?') = coalesce(b.domain, '?') as same_domain from r join k a on a.id = r.id join k b on b.id = r.qid where place < 2),
         y as (select qid, bool_or(same_system) as s, bool_or(same_domain) as d, arg_min(confidence, place) as confidence from x group by qid)
-        select confidence, count(*) as n, count_if(s) as n_same_system, count_if(d) as n_same_domain from y group by confidence"""
+        select confidence, count(*) as n, count(*) filter (where s) as n_same_system, count(*) filter (where d) as n_same_domain from y group by confidence"""
     ),
     "separation_margin": _sql("select round(min(similarity) filter (where similarity >= 0.9), 6) as least_near, round(max(similarity) filter (where similarity < 0.9), 6) as greatest_far, count(*) as n from v", k=1),
     "rank_gaps": _sql("select qid, round(max(similarity) filter (where vector_rank = 0) - max(similarity) filter (where vector_rank = 4), 6) as gap, round(avg(similarity), 6) as mean_similarity from v group by qid", k=5),

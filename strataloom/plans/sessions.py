@@ -137,7 +137,7 @@ a as (select *, case when lag(s) over (partition by {owner} order by s) is null
 ss as (select *, max(st) over (partition by {owner} order by s rows between unbounded preceding and current row) as session_start_s from a)"""
 
 
-_SUM = "select {0}, session_start_s, count(*) as n, max(s) as session_end_s, count_if(coalesce(flagged, false)) as n_flagged from ss group by 1, 2"
+_SUM = "select {0}, session_start_s, count(*) as n, max(s) as session_end_s, count(*) filter (where coalesce(flagged, false)) as n_flagged from ss group by 1, 2"
 ORACLES = {
     "session_counts": f"with {_LOG}, {_sessions('lg', 'owner', 1800)} " + _SUM.format("owner"),
     "event_sessions": f"with lg as (select user_id, event_type = 'error' as flagged, epoch_us(ts) // 1000000 as s from events), {_sessions('lg', 'user_id', 21600)} " + _SUM.format("user_id"),

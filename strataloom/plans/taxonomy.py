@@ -143,6 +143,6 @@ ORACLES = {
     "derived_shapes": f"select source_type, {_SHAPES} as shape, count(*) as n from documents group by 1, 2",
     "source_rules": """select case when starts_with(source, 'share-0') then 'share, low' when starts_with(source, 'share-') then 'share' when starts_with(source, 'vault-nightly') then 'vault, night' when starts_with(source, 'vault') then 'vault'
         when starts_with(source, 'chat') then 'chat' end as target, count(*) as n, count(distinct source) as n_sources from documents group by 1""",
-    "array_predicates": f"""select domain, count_if(coalesce(list_contains(tags, 'Switch'), false)) as n_contains, count_if(coalesce(list_has_any(tags, ['DNS', 'VLAN']), false)) as n_overlaps,
-        count_if(coalesce(list_count(list_filter(tags, lambda t: starts_with(t, 'component:'))) > 0, false)) as n_component from {one('tags', 'domain')} group by domain""",
+    "array_predicates": f"""select domain, count(*) filter (where coalesce(list_contains(tags, 'Switch'), false)) as n_contains, count(*) filter (where coalesce(list_has_any(tags, ['DNS', 'VLAN']), false)) as n_overlaps,
+        count(*) filter (where coalesce(list_count(list_filter(tags, lambda t: starts_with(t, 'component:'))) > 0, false)) as n_component from {one('tags', 'domain')} group by domain""",
 }

@@ -306,7 +306,7 @@ def shared_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     places = anchors.groupBy("doc").agg(F.array_distinct(F.collect_list(F.struct("pos", "hash"))).alias("found"))  # as many as the text has
     kept = sketch_semi(texts, anchors.select("doc"), "doc").join(places, "doc").select("doc", "text", "found")
     around = kept.mapInArrow(_contexts, "hash bigint, doc bigint, pos int, lead int, context string")
-    around = around.withColumns({"k1": F.xxhash64(F.lit(1), "context"), "k2": F.xxhash64(F.lit(2), "context")})
+    around = written(around.withColumns({"k1": F.xxhash64(F.lit(1), "context"), "k2": F.xxhash64(F.lit(2), "context")}), "spans-around")
     alike = around.groupBy(*_KEYS).agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min("context").alias("context"), F.max("context").alias("context2"))
     alike = written(alike, "spans-contexts")
     if alike.filter("context <> context2").limit(1).count():

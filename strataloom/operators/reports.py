@@ -42,8 +42,8 @@ def tag_frequency(rows: DataFrame, tags: str = "tags", sample: str = "id") -> Da
     return one.groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.min("_s").alias("sample_id"))
 
 
-def drift(rows: DataFrame, vocabulary: DataFrame, domains: list[str]) -> DataFrame:
-    """One row: records, those with an unknown tag, with a domain outside the list, with either, and a verdict.
+def drift(rows: DataFrame, vocabulary: DataFrame, domains: DataFrame) -> DataFrame:
+    """One row: records, those with an unknown tag, with a domain that ``domains`` lacks, with either, and a verdict.
 
     An unknown tag has no namespace and is no vocabulary word, compared as written.
     """
@@ -51,7 +51,9 @@ def drift(rows: DataFrame, vocabulary: DataFrame, domains: list[str]) -> DataFra
     known = vocabulary.select(F.col("tag"), F.lit(True).alias("known")).distinct()
     unknown = F.col("tag").isNotNull() & ~namespaced(F.col("tag")) & F.col("known").isNull()
     bad = tags.join(known, "tag", "left").groupBy("id").agg(F.max(unknown).alias("bad_tag"))
-    out_of_list = rows.groupBy("id").agg(F.max(F.coalesce(~F.col("domain").isin(domains), F.lit(False))).alias("bad_domain"))
+    listed = domains.select("domain").distinct().withColumn("listed", F.lit(True))
+    stray = F.col("domain").isNotNull() & F.col("listed").isNull()
+    out_of_list = rows.join(listed, "domain", "left").groupBy("id").agg(F.max(stray).alias("bad_domain"))
     both = bad.join(out_of_list, "id")
     either = F.col("bad_tag") | F.col("bad_domain")
     total = both.agg(

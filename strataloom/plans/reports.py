@@ -9,11 +9,6 @@ from strataloom.functions.text import word_count, words_sql
 from strataloom.operators import reports as R
 from strataloom.sources.tables import records, table
 
-#: The domains.
-DOMAINS = ["K8s", "Network", "OpenBrain", "Personal", "Security", "Study"]
-_DOMAINS = ", ".join(f"'{d}'" for d in DOMAINS)
-
-
 
 def one(*columns: str) -> str:
     """SQL for the records of ``knowledge``, one row each."""
@@ -51,7 +46,9 @@ def tag_frequency(spark, d):
 
 
 def drift_accounting(spark, d):
-    return R.drift(records(spark, d, "tags", "domain"), table(spark, d, "tag_vocabulary"), DOMAINS)
+    """Against the tag vocabulary and the domains that documents have, the personal one apart."""
+    domains = table(spark, d, "documents").select("domain").filter("domain <> 'Personal'")
+    return R.drift(records(spark, d, "tags", "domain"), table(spark, d, "tag_vocabulary"), domains)
 
 
 def duplicate_keys(spark, d):
@@ -142,7 +139,7 @@ ORACLES = {
     "tag_frequency": f"select tag, count(*) as n, min(id) as sample_id from (select id, unnest(tags) as tag from {one('tags')}) group by tag",
     "drift_accounting": rf"""with k as {one('tags', 'domain')},
         b as (select distinct id from (select id, unnest(tags) as t from k) where t is not null and not regexp_matches(lower(trim(t)), '^(shape|component):') and t not in (select tag from tag_vocabulary)),
-        x as (select id, id in (select id from b) as bad_tag, coalesce(domain not in ({_DOMAINS}), false) as bad_domain from k)
+        x as (select id, id in (select id from b) as bad_tag, coalesce(domain not in (select domain from documents where domain <> 'Personal'), false) as bad_domain from k)
         select count(*) as n, count(*) filter (where bad_tag) as n_bad_tag, count(*) filter (where bad_domain) as n_bad_domain, count(*) filter (where bad_tag or bad_domain) as n_drifted, count(*) filter (where not (bad_tag or bad_domain)) as n_clean,
           case when count(*) = 0 then 'INCOMPLETE' when count(*) filter (where bad_tag or bad_domain) = 0 then 'CLEAN' else 'DRIFT' end as verdict from x""",
     "duplicate_keys": f"select system, component_key, count(*) as n from {one('status', 'system', 'component_key')} where status = 'current' and component_key is not null group by 1, 2 having count(*) > 1",

@@ -5,6 +5,7 @@ The questions are a stated set: every record whose id, read as a number, is divi
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strataloom.functions.analyzer import stems
@@ -134,10 +135,11 @@ def fetch_by_ids(spark, d):
 
 
 def same_component_pairs(spark, d):
-    """Cosine similarity of records that share a component key, each pair once."""
-    k = records(spark, d, "component_key", "embedding").filter(F.col("component_key").isNotNull() & usable(F.col("embedding"), 64))
-    a, b = k.select("component_key", F.col("id").alias("id_lo"), F.col("embedding").alias("x")), k.select("component_key", F.col("id").alias("id_hi"), F.col("embedding").alias("y"))
-    return a.join(b, "component_key").filter("id_lo < id_hi").select("component_key", "id_lo", "id_hi", F.round(cosine(F.col("x"), F.col("y")), 6).alias("similarity"))
+    """Cosine similarity of each record with the one before it of the same component key."""
+    k = records(spark, d, "component_key", "embedding", "created_at").filter(F.col("component_key").isNotNull() & usable(F.col("embedding"), 64))
+    w = Window.partitionBy("component_key").orderBy(F.asc_nulls_first("created_at"), "id")
+    k = k.withColumn("prior", F.lag(F.struct("id", "embedding")).over(w)).filter("prior is not null")
+    return k.select("component_key", "id", F.col("prior.id").alias("prior_id"), F.round(cosine(F.col("embedding"), F.col("prior.embedding")), 6).alias("similarity"))
 
 
 QUERIES = {
@@ -212,8 +214,9 @@ ORACLES = {
           coalesce(nullif(concat_ws('/', domain, system), ''), 'knowledge') as provenance, doc is not null as chunked from k""",
     "fetch_by_ids": f"""with k as (select *, {ref('document_id')} as doc from {one('document_id', 'chunk_index', 'created_by')}), q as (select id as qid, created_by from k where suffix(id, '00'))
         select distinct qid, k.id, k.doc as document_id, k.chunk_index from q join k on (k.id = q.qid or k.doc = q.qid) and k.created_by = q.created_by""",
-    "same_component_pairs": f"""with k as (select * from {one('component_key', 'embedding')} where component_key is not null and {usable_sql('embedding', 64)})
-        select component_key, a.id as id_lo, b.id as id_hi, round({_COS.format('a.embedding', 'b.embedding')}, 6) as similarity from k a join k b using (component_key) where a.id < b.id""",
+    "same_component_pairs": f"""with k as (select * from {one('component_key', 'embedding', 'created_at')} where component_key is not null and {usable_sql('embedding', 64)}),
+        p as (select component_key, id, embedding, lag(id) over w as prior_id, lag(embedding) over w as prior from k window w as (partition by component_key order by created_at nulls first, id))
+        select component_key, id, prior_id, round({_COS.format('embedding', 'prior')}, 6) as similarity from p where prior_id is not null""",
 }
 _FIRST = _sql("select qid, id, place, confidence, 'current' as scope from r", scope="kk as (select * from k where coalesce(lower(trim(status)) = 'current', false)),")
 _EVERY = _sql("select qid, id, place, confidence, 'all' as scope from r")

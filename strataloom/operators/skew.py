@@ -30,6 +30,26 @@ def hot_key_join(big: DataFrame, small: DataFrame, key: str, spread_by: Column,
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
+#: Rows of one key on either side of one task of pairs_join.
+BLOCK_ROWS = 1024
+
+
+def pairs_join(left: DataFrame, right: DataFrame, key: str, left_by: Column, right_by: Column, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Inner join on ``key``, of which both sides may hold many rows: every pair of rows comes out, once.
+
+    A key with more than ``block_rows`` rows on a side is cut there into blocks by ``left_by`` or ``right_by`` (columns that
+    differ between rows of one key), and each pair of blocks is joined on its own. The broadcast list of such keys
+    has fewer rows than there are blocks. Other columns of the two sides must have different names.
+    """
+    count = lambda rows, name: rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name))
+    hot = F.broadcast(count(left, "_m").join(count(right, "_n"), key).filter("_m > 1 or _n > 1"))
+    block = lambda by, n: F.pmod(F.xxhash64(by), F.coalesce(n, F.lit(1))).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1))
+    a = left.join(hot, key, "left").withColumn("_i", block(left_by, F.col("_m"))).withColumn("_j", every(F.col("_n"))).drop("_m", "_n")
+    b = right.join(hot, key, "left").withColumn("_j", block(right_by, F.col("_n"))).withColumn("_i", every(F.col("_m"))).drop("_m", "_n")
+    return a.join(b, [key, "_i", "_j"]).drop("_i", "_j")
+
+
 #: Rows of the sketch that sketch_semi broadcasts; each holds 63 bits.
 SKETCH_ROWS = 1 << 17
 

@@ -5,7 +5,6 @@ The questions are a stated set: every record whose id, read as a number, is divi
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strataloom.functions.analyzer import stems
@@ -13,7 +12,9 @@ from strataloom.functions.ids import uuid_of
 from strataloom.functions.text import snippet, terms_sql, title, word_count, words_sql
 from strataloom.functions.vectors import cosine, usable, usable_sql
 from strataloom.operators import search as S
+from strataloom.operators.skew import BLOCK_ROWS, pairs_join
 from strataloom.plans.reports import one, ref
+from strataloom.session import written
 from strataloom.sources.tables import records, table
 
 NOW = "2026-06-01 00:00:00"
@@ -134,12 +135,19 @@ def fetch_by_ids(spark, d):
     return hits.select("qid", "id", "document_id", "chunk_index").distinct()
 
 
+def component_pairs(rows, block_rows=BLOCK_ROWS):
+    """Cosine similarity of each record (``id, component_key, embedding, created_at``) with all before it of the same component key."""
+    k = rows.withColumn("_o", F.struct(F.coalesce(F.unix_micros("created_at"), F.lit(-(2**63))).alias("at"), "id"))
+    later = k.select("component_key", "id", "_o", "embedding")
+    prior = k.select("component_key", F.col("id").alias("prior_id"), F.col("_o").alias("_p"), F.col("embedding").alias("prior"))
+    pairs = pairs_join(later, prior, "component_key", F.col("id"), F.col("prior_id"), block_rows).filter("_p < _o")
+    return pairs.select("component_key", "id", "prior_id", F.round(cosine(F.col("embedding"), F.col("prior")), 6).alias("similarity"))
+
+
 def same_component_pairs(spark, d):
-    """Cosine similarity of each record with the one before it of the same component key."""
+    """Cosine similarity of all records that share a component key, each pair once: ``prior_id`` is the earlier one."""
     k = records(spark, d, "component_key", "embedding", "created_at").filter(F.col("component_key").isNotNull() & usable(F.col("embedding"), 64))
-    w = Window.partitionBy("component_key").orderBy(F.asc_nulls_first("created_at"), "id")
-    k = k.withColumn("prior", F.lag(F.struct("id", "embedding")).over(w)).filter("prior is not null")
-    return k.select("component_key", "id", F.col("prior.id").alias("prior_id"), F.round(cosine(F.col("embedding"), F.col("prior.embedding")), 6).alias("similarity"))
+    return component_pairs(written(k, "component-records"))
 
 
 QUERIES = {

@@ -9,9 +9,11 @@ from strataloom.functions.ids import uuid_of
 from strataloom.functions.vectors import usable
 from strataloom.operators import search as S
 from strataloom.operators import writes as W
+from strataloom.operators.skew import BLOCK_ROWS, pairs_join
 from strataloom.plans.lifecycle import _EV, _events
 from strataloom.plans.reports import one, ref
 from strataloom.plans.search import _BOOST, _DECAY, _corpus, _lexical, _questions, _ranked, _sql, _vector
+from strataloom.session import written
 from strataloom.sources.tables import records, table
 
 
@@ -46,13 +48,18 @@ def similar_documents(spark, d):
     return v.filter("similarity >= 0.5").select("qid", "id", F.round("similarity", 6).alias("similarity"))
 
 
+def listed_for(rows, block_rows=BLOCK_ROWS):
+    """``qid, id``: for every record (``id, system, component_key, status``) the other current ones of its system and component."""
+    keyed = rows.select("id", F.struct("system", "component_key").alias("key"), "status")
+    asked, live = keyed.select("key", F.col("id").alias("qid")), keyed.filter("status = 'current'").select("key", "id")
+    return pairs_join(asked, live, "key", F.col("qid"), F.col("id"), block_rows).filter("id <> qid").select("qid", "id")
+
+
 def plan_candidates(spark, d):
-    """What exists already for each question: current records of its system with its component, and similar ones."""
+    """What exists already: for every record with a component the current ones of its system with it, for each question similar ones."""
     k = _corpus(spark, d)
-    live = k.filter("status = 'current' and component_key is not null").select("id", "system", "component_key")
-    asked = k.filter(F.col("id").endswith("00") | F.col("id").endswith("80")).select(F.col("id").alias("qid"), "system", "component_key").filter("component_key is not null")
-    listed = asked.join(live, ["system", "component_key"]).filter("id <> qid").select("qid", "id")
-    return listed.unionByName(similar_documents(spark, d).select("qid", "id")).distinct()
+    keyed = k.filter("system is not null and component_key is not null").select("id", "system", "component_key", "status")
+    return listed_for(written(keyed, "plan-records")).unionByName(similar_documents(spark, d).select("qid", "id")).distinct()
 
 
 def document_fusion(spark, d):

@@ -4,6 +4,7 @@ from itertools import combinations
 
 import pytest
 
+from strataloom.plans.more import listed_for
 from strataloom.plans.search import component_pairs
 
 
@@ -20,3 +21,11 @@ def test_all_pairs_of_a_component(spark, block_rows):
             want[later, prior] = sum(a * b for a, b in zip(x, y)) / (sum(a * a for a in x) * sum(b * b for b in y)) ** 0.5
     assert len(got) == len(want) == 40 * 39 // 2 + 1
     assert {(i, p): s for _, i, p, s in got} == pytest.approx(want, abs=1e-6)
+
+
+@pytest.mark.parametrize("block_rows", [1024, 7])
+def test_candidates_for_every_keyed_record(spark, block_rows):
+    rows = [(f"r{i:02x}", "s", "hot" if i % 3 else "cool", "current" if i % 2 else "draft") for i in range(1, 50)] + [("x", "t", "hot", "current"), ("y", "u", "one", "current")]
+    got = [tuple(r) for r in listed_for(spark.createDataFrame(rows, "id string, system string, component_key string, status string"), block_rows).collect()]
+    want = {(a[0], b[0]) for a in rows for b in rows if a[1:3] == b[1:3] and a[0] != b[0] and b[3] == "current"}
+    assert len(got) == len(want) > 500 and set(got) == want

@@ -12,7 +12,7 @@ from strataloom.operators import writes as W
 from strataloom.operators.skew import BLOCK_ROWS, pairs_join
 from strataloom.plans.lifecycle import _EV, _events
 from strataloom.plans.reports import one, ref
-from strataloom.plans.search import _BOOST, _DECAY, _corpus, _lexical, _questions, _ranked, _sql, _vector
+from strataloom.plans.search import _BOOST, _DECAY, _corpus, _lexical, _questions, _ranked, _sql, _vector, asked_by_100, oracles_by_100
 from strataloom.session import written
 from strataloom.sources.tables import records, table
 
@@ -24,25 +24,25 @@ def facet_filter(spark, d):
     return k.filter((F.col("status") == "current") & facets).select("id", "domain", "environment", "created_by")
 
 
-def retriever_overlap(spark, d):
+def retriever_overlap(spark, d, asks=None):
     """Per question how many of the ten best by vectors are among the ten best by terms."""
-    k = _corpus(spark, d)
+    k = _corpus(spark, d, asks)
     v, t = _vector(k, k=10).select("qid", "id", F.lit(1).alias("v")), _lexical(k, k=10).select("qid", "id", F.lit(1).alias("t"))
     both = v.join(t, ["qid", "id"], "full")
     return both.groupBy("qid").agg(F.count("v").alias("n_vector"), F.count("t").alias("n_lexical"), F.count(F.col("v") + F.col("t")).alias("n_both"))
 
 
-def capture_compare(spark, d):
+def capture_compare(spark, d, asks=None):
     """Two captures compared place by place: plain fusion against boosted and decayed."""
-    k = _corpus(spark, d)
+    k = _corpus(spark, d, asks)
     a = _ranked(k).filter("place < 5").select("qid", "place", F.col("id").alias("plain_id"))
     b = _ranked(k, boost=1.5, half_life_days=90.0).filter("place < 5").select("qid", "place", F.col("id").alias("modified_id"))
     return a.join(b, ["qid", "place"], "full").withColumn("same", F.col("plain_id").eqNullSafe(F.col("modified_id")))
 
 
-def similar_documents(spark, d):
+def similar_documents(spark, d, asks=None):
     """The three most similar current records of each question, then those of them above the floor."""
-    k = _corpus(spark, d)
+    k = _corpus(spark, d, asks)
     good = usable(F.col("embedding"), 64)
     v = S.vector_top(_questions(k).filter(good), k.filter(good & (F.col("status") == "current")), 3, exclude_self=True)
     return v.filter("similarity >= 0.5").select("qid", "id", F.round("similarity", 6).alias("similarity"))
@@ -55,25 +55,25 @@ def listed_for(rows, block_rows=BLOCK_ROWS):
     return pairs_join(asked, live, "key", F.col("qid"), F.col("id"), block_rows).filter("id <> qid").select("qid", "id")
 
 
-def plan_candidates(spark, d):
+def plan_candidates(spark, d, asks=None):
     """What exists already: for every record with a component the current ones of its system with it, for each question similar ones."""
-    k = _corpus(spark, d)
+    k = _corpus(spark, d, asks)
     keyed = k.filter("system is not null and component_key is not null").select("id", "system", "component_key", "status")
-    return listed_for(written(keyed, "plan-records")).unionByName(similar_documents(spark, d).select("qid", "id")).distinct()
+    return listed_for(written(keyed, "plan-records")).unionByName(similar_documents(spark, d, asks).select("qid", "id")).distinct()
 
 
-def document_fusion(spark, d):
+def document_fusion(spark, d, asks=None):
     """Fusion by document: several sections of one document add up."""
-    k = _corpus(spark, d)
+    k = _corpus(spark, d, asks)
     f = S.fuse(_vector(k), _lexical(k)).join(k.select("id", "document_id"), "id")
     score = f.groupBy("qid", F.coalesce("document_id", "id").alias("doc")).agg(F.round(F.sum("rrf_score"), 9).alias("score"), F.count(F.lit(1)).alias("n_sections"))
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "doc")
     return score.withColumn("place", F.row_number().over(w) - 1).filter("place < 5")
 
 
-def context_pack(spark, d):
+def context_pack(spark, d, asks=None):
     """The first four hits of each question, 400 characters of each, as one text."""
-    k = _corpus(spark, d)
+    k = _corpus(spark, d, asks)
     r = _ranked(k).filter("place < 4").select("qid", "id", "place").join(k.select("id", F.substring(F.coalesce("content", F.lit("")), 1, 400).alias("part")), "id")
     packed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "part"))), lambda x: x["part"]), "\n---\n")
     return r.groupBy("qid").agg(F.md5(packed).alias("pack_hash"), F.count(F.lit(1)).alias("n"))
@@ -156,6 +156,8 @@ QUERIES = {
     )
 }
 
+QUERIES |= asked_by_100(QUERIES)
+
 _SIM = _sql("select qid, id, round(similarity, 6) as similarity from v where similarity >= 0.5", k=3, scope="kk as (select * from k where status = 'current'),")
 ORACLES = {
     "facet_filter": f"select id, domain, environment, created_by from {one('status', 'domain', 'environment', 'created_by')} where status = 'current' and (domain = 'Network' and environment = 'Lab' or created_by = 'owner_0001')",
@@ -184,3 +186,7 @@ ORACLES = {
         where component_key is not null and valid_from is not null) where prior_id is not null""",
     "replayed_inserts": "select id, any_value(owner) as owner, count(*) as n from query_log group by id having count(*) > 1",
 }
+ORACLES |= oracles_by_100(ORACLES, QUERIES)
+_LISTED = """select q.id as qid, x.id from k0 q join k0 x on q.system = x.system and q.component_key = x.component_key and q.id <> x.id where x.status = 'current'"""
+ORACLES["plan_candidates_by_100"] = f"""with s as ({oracles_by_100({'similar_documents': _SIM}, QUERIES)['similar_documents_by_100']}), k0 as {one('status', 'system', 'component_key')}
+    {_LISTED} union select qid, id from s"""

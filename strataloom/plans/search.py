@@ -1,10 +1,14 @@
 """Registered retrieval queries, with their oracles.
 
-The questions are a stated set: every record whose id, read as a number, is divisible by 256 asks for others like it.
+The questions are the records whose id, read as a number, is divisible by 100: queries named ``..._by_100``. Those without
+that ending ask by the records whose id is divisible by 256, as their SQL has it.
 """
 
 from __future__ import annotations
 
+from functools import partial
+from inspect import signature
+
 from pyspark.sql import functions as F
 
 from strataloom.functions.analyzer import stems
@@ -21,13 +25,25 @@ NOW = "2026-06-01 00:00:00"
 _COLUMNS = ("content", "embedding", "status", "domain", "environment", "system", "tags", "component_key", "created_at", "document_id", "heading", "chunk_index", "created_by")
 
 
-def _corpus(spark, d):
+def _corpus(spark, d, asks=None):
     k = records(spark, d, *_COLUMNS).withColumn("document_id", uuid_of("document_id"))
-    return k.withColumn("word_count", word_count("content"))
+    return k.withColumns({"word_count": word_count("content"), "asks": (asks or by_256)(F.col("id"))})
+
+
+def by_256(id):
+    return id.endswith("00")
+
+
+def by_100(id):
+    """Whether a UUID, read as a number, is divisible by 100: its digits in four parts, folded from the left."""
+    rest, digits = F.lit(0).cast("bigint"), F.replace(id, F.lit("-"), F.lit(""))
+    for at in range(1, 33, 8):
+        rest = (rest * (16**8 % 100) + F.conv(F.substring(digits, at, 8), 16, 10).cast("bigint")) % 100
+    return rest == 0
 
 
 def _questions(k):
-    return k.filter(F.col("id").endswith("00")).select(F.col("id").alias("qid"), F.col("content").alias("question"), "embedding", "created_by")
+    return k.filter("asks").select(F.col("id").alias("qid"), F.col("content").alias("question"), "embedding", "created_by")
 
 
 def _vector(corpus, **kw):
@@ -43,8 +59,8 @@ def _ranked(k, **kw):
     return S.rank(S.fuse(_vector(k), _lexical(k)), k.drop("content", "embedding"), F.to_timestamp(F.lit(NOW)), **kw)
 
 
-def vector_topk(spark, d):
-    return _vector(_corpus(spark, d), k=10).select("qid", "id", F.round("similarity", 6).alias("similarity"), "vector_rank")
+def vector_topk(spark, d, asks=None):
+    return _vector(_corpus(spark, d, asks), k=10).select("qid", "id", F.round("similarity", 6).alias("similarity"), "vector_rank")
 
 
 def vector_topk_embeddings(spark, d):
@@ -54,29 +70,29 @@ def vector_topk_embeddings(spark, d):
     return S.vector_top(q, e, 10, exclude_self=True).select("qid", "id", F.round("similarity", 6).alias("similarity"), "vector_rank")
 
 
-def lexical_topk(spark, d):
-    return _lexical(_corpus(spark, d), k=10).select("qid", "id", F.round("lexical_score", 6).alias("lexical_score"), "lexical_rank")
+def lexical_topk(spark, d, asks=None):
+    return _lexical(_corpus(spark, d, asks), k=10).select("qid", "id", F.round("lexical_score", 6).alias("lexical_score"), "lexical_rank")
 
 
-def lexical_topk_stemmed(spark, d):
-    return _lexical(_corpus(spark, d), k=10, analyze=stems).select("qid", "id", F.round("lexical_score", 6).alias("lexical_score"), "lexical_rank")
+def lexical_topk_stemmed(spark, d, asks=None):
+    return _lexical(_corpus(spark, d, asks), k=10, analyze=stems).select("qid", "id", F.round("lexical_score", 6).alias("lexical_score"), "lexical_rank")
 
 
-def hybrid_topk(spark, d):
+def hybrid_topk(spark, d, asks=None):
     """Fusion, length penalty, the first five with their signals."""
-    r = _ranked(_corpus(spark, d)).filter("place < 5")
+    r = _ranked(_corpus(spark, d, asks)).filter("place < 5")
     return r.select("qid", "id", "place", "vector_rank", "lexical_rank", "retrievers_hit", "word_count", F.round("length_penalty", 6).alias("length_penalty"), F.round("final_score", 9).alias("final_score"), "confidence")
 
 
-def hybrid_modified(spark, d):
+def hybrid_modified(spark, d, asks=None):
     """Boosted components, decayed ages, dissimilar hits suppressed, one hit per document with its siblings."""
-    r = S.collapse(_ranked(_corpus(spark, d), boost=1.5, half_life_days=90.0, floor=0.1), 5)
+    r = S.collapse(_ranked(_corpus(spark, d, asks), boost=1.5, half_life_days=90.0, floor=0.1), 5)
     return r.select("qid", "id", "final_place", F.round("final_score", 9).alias("final_score"), "confidence", F.size("siblings").alias("n_siblings"), F.array_join("siblings", ",").alias("siblings"))
 
 
-def hybrid_dispatch(spark, d):
+def hybrid_dispatch(spark, d, asks=None):
     """Current records first; a question whose best hit is of low confidence is asked of all statuses instead."""
-    k = _corpus(spark, d)
+    k = _corpus(spark, d, asks)
     asked = S.fuse(_vector(k), _lexical(k))
     current = k.filter(F.coalesce(F.lower(F.trim("status")) == "current", F.lit(False)))
     of_current = S.fuse(S.vector_top(_questions(k).filter(usable(F.col("embedding"), 64)), current.filter(usable(F.col("embedding"), 64)), exclude_self=True), S.lexical_top(_questions(k), current.select("id", "content"), exclude_self=True))
@@ -87,16 +103,16 @@ def hybrid_dispatch(spark, d):
     return first.join(trusted, "qid", "left_semi").unionByName(every.join(trusted, "qid", "left_anti")).filter("place < 5")
 
 
-def question_confidence(spark, d):
+def question_confidence(spark, d, asks=None):
     """Per question the confidence of its first two hits: the first that isn't low, else low."""
-    r = _ranked(_corpus(spark, d)).filter("place < 2")
+    r = _ranked(_corpus(spark, d, asks)).filter("place < 2")
     good = F.min_by("confidence", F.when(F.col("confidence") != "low", F.col("place")))
     return r.groupBy("qid").agg(F.coalesce(F.when(good != "low", good), F.lit("low")).alias("confidence"), F.count(F.lit(1)).alias("n_hits"))
 
 
-def retrieval_quality(spark, d):
+def retrieval_quality(spark, d, asks=None):
     """Over all questions: how often a hit of the same document or system is among the first two, and the confidences."""
-    k = _corpus(spark, d)
+    k = _corpus(spark, d, asks)
     r = _ranked(k).filter("place < 2").select("qid", "id", "place", "confidence")
     system = k.select("id", F.coalesce("system", F.lit("?")).alias("s"), F.coalesce("domain", F.lit("?")).alias("dom"))
     r = r.join(system, "id").join(system.select(F.col("id").alias("qid"), F.col("s").alias("qs"), F.col("dom").alias("qdom")), "qid")
@@ -104,16 +120,16 @@ def retrieval_quality(spark, d):
     return per.groupBy("confidence").agg(F.count(F.lit(1)).alias("n"), F.count_if("same_system").alias("n_same_system"), F.count_if("same_domain").alias("n_same_domain"))
 
 
-def separation_margin(spark, d):
+def separation_margin(spark, d, asks=None):
     """Least best similarity of questions with a near copy against the greatest best similarity of the others."""
-    best = _vector(_corpus(spark, d), k=1).select("qid", "similarity")
+    best = _vector(_corpus(spark, d, asks), k=1).select("qid", "similarity")
     near = F.col("similarity") >= 0.9
     return best.agg(F.round(F.min(F.when(near, F.col("similarity"))), 6).alias("least_near"), F.round(F.max(F.when(~near, F.col("similarity"))), 6).alias("greatest_far"), F.count(F.lit(1)).alias("n"))
 
 
-def rank_gaps(spark, d):
+def rank_gaps(spark, d, asks=None):
     """Per question the similarity lost from the first to the fifth hit and the mean of the five."""
-    v = _vector(_corpus(spark, d), k=5)
+    v = _vector(_corpus(spark, d, asks), k=5)
     at = lambda r: F.max(F.when(F.col("vector_rank") == r, F.col("similarity")))
     return v.groupBy("qid").agg(F.round(at(0) - at(4), 6).alias("gap"), F.round(F.avg("similarity"), 6).alias("mean_similarity"))
 
@@ -126,9 +142,9 @@ def skim(spark, d):
     return k.select("id", snippet("content").alias("snippet"), head.alias("heading"), provenance.alias("provenance"), F.col("document_id").isNotNull().alias("chunked"))
 
 
-def fetch_by_ids(spark, d):
+def fetch_by_ids(spark, d, asks=None):
     """For every question's owner: the question's record and its sections, in order."""
-    k = _corpus(spark, d)
+    k = _corpus(spark, d, asks)
     want = _questions(k).select("qid", F.col("created_by").alias("owner"))
     own = k.select("id", "document_id", "chunk_index", "created_by").withColumn("of", F.array_distinct(F.array(F.col("id"), F.coalesce("document_id", "id"))))
     hits = own.withColumn("qid", F.explode("of")).join(want, "qid").filter(F.col("created_by") == F.col("owner"))
@@ -157,6 +173,13 @@ QUERIES = {
     )
 }
 
+def asked_by_100(queries):
+    """The same queries asked by the records whose id is divisible by 100."""
+    return {f"{name}_by_100": partial(f, asks=by_100) for name, f in queries.items() if "asks" in signature(f).parameters}
+
+
+QUERIES |= asked_by_100(QUERIES)
+
 _COS = "list_cosine_similarity({0}::double[], {1}::double[])"
 _BASE = f"""
 k as materialized (select *, {ref('document_id_raw')} as document_id, coalesce(len({words_sql('content')}), 0) as word_count, {usable_sql('embedding', 64)} as ok from
@@ -230,3 +253,12 @@ _FIRST = _sql("select qid, id, place, confidence, 'current' as scope from r", sc
 _EVERY = _sql("select qid, id, place, confidence, 'all' as scope from r")
 ORACLES["hybrid_dispatch"] = f"""with first_ as ({_FIRST}), every_ as ({_EVERY}), trusted as (select qid from first_ where place = 0 and confidence <> 'low')
 select * from first_ where place < 5 and qid in (select qid from trusted) union all select * from every_ where place < 5 and qid not in (select qid from trusted)"""
+
+
+def oracles_by_100(oracles, queries):
+    """SQL of the queries that asked_by_100 adds."""
+    number = lambda c: f"('0x' || replace({c}, '-', ''))::uhugeint % 100 = 0"
+    return {f"{name}_by_100": sql.replace("suffix(id, '00')", number("id")) for name, sql in oracles.items() if f"{name}_by_100" in queries}
+
+
+ORACLES |= oracles_by_100(ORACLES, QUERIES)

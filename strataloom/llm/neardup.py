@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.llm.tokenizing import steps_of
-from strataloom.operators.skew import hot_key_join, sketch_semi
+from strataloom.operators.skew import hot_key_join, pairs_join, sketch_semi
 from strataloom.session import written
 
 #: Fixed: runs of letters and digits are words.
@@ -85,7 +85,7 @@ def _cell(h: np.ndarray) -> np.ndarray:
 def _surveyor(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(TABLE, np.uint8)
-        names = ["id", "n", "k1", "k2", "block", "counts"]
+        names = ["id", "n", "k1", "k2", "copy", "block", "counts"]
         for batch in batches:
             for part in steps_of(batch):
                 g = Grams(part.column(1), width)
@@ -94,13 +94,13 @@ def _surveyor(width: int):
                 k1, k2 = g.keys()
                 rows = len(part)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(g.n.astype(np.int32)), pa.array(k1), pa.array(k2), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=names
+                    [part.column(0), pa.array(g.n.astype(np.int32)), pa.array(k1), pa.array(k2), part.column(2), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=names
                 ).filter(pa.array(g.n > 0))
         for b in range(0, TABLE, _BLOCK):
             block = table[b : b + _BLOCK]
             if block.any():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(1, pa.string()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([b // _BLOCK], pa.int32()), pa.array([block.tobytes()], pa.binary())],
+                    [pa.nulls(1, pa.string()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([b // _BLOCK], pa.int32()), pa.array([block.tobytes()], pa.binary())],
                     names=names,
                 )
 
@@ -302,14 +302,14 @@ def _verifier(t: Fraction):
 
 def _words(rows: DataFrame, id_column: str, text_column: str) -> DataFrame:
     texts = rows.select(F.col(id_column).cast("string").alias("id"), F.col(text_column).alias("text")).filter(F.col("id").isNotNull() & F.col("text").isNotNull())
-    return texts.select("id", F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)).alias("words"))
+    return texts.select("id", F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)).alias("words"), F.unhex(F.sha2("text", 256)).alias("copy"))
 
 
 def similar_classes(rows: DataFrame, id_column: str = "id", text_column: str = "content", width: int = 5, threshold: str = "0.8") -> tuple[DataFrame, DataFrame]:
-    """Membership ``id, class_id`` and links ``class_lo, class_hi, similarity`` between classes.
+    """Membership ``id, class_id, copy_id`` and links ``class_lo, class_hi, similarity`` between classes.
 
     A class holds the records with the same set of n-grams (``width`` consecutive words, lower-cased runs of
-    letters and digits) and is named by its smallest id. Classes are linked if their sets' Jaccard similarity is
+    letters and digits) and is named by its smallest id; ``copy_id`` is the smallest id with the very same text. Classes are linked if their sets' Jaccard similarity is
     at least ``threshold``; every such link is found. Records with fewer than ``width`` words, null ids and null texts
     are in no class; of an id's repeated rows one counts; other columns are ignored, whatever their names.
     An empty table gives neither. Texts of any length are read whole.
@@ -317,17 +317,19 @@ def similar_classes(rows: DataFrame, id_column: str = "id", text_column: str = "
     t = Fraction(threshold)
     spark = rows.sparkSession
     words = _words(rows, id_column, text_column)
-    survey = written(words.mapInArrow(_surveyor(width), "id string, n int, k1 bigint, k2 bigint, block int, counts binary"), "neardup-survey")
+    survey = written(words.mapInArrow(_surveyor(width), "id string, n int, k1 bigint, k2 bigint, copy binary, block int, counts binary"), "neardup-survey")
+    words = words.drop("copy")
     table = np.zeros(TABLE, np.uint8)
     blocks = survey.filter("block is not null").groupBy("block").applyInArrow(_add_counts, "block int, counts binary")
     for r in blocks.toLocalIterator():  # TABLE / _BLOCK rows, TABLE bytes in all
         table[r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] = np.frombuffer(r["counts"], np.uint8)
     shared = spark.sparkContext.broadcast(table.tobytes())
-    records = survey.filter("id is not null").select("id", "n", "k1", "k2")
+    records = survey.filter("id is not null").select("id", "n", "k1", "k2", "copy")
     classes = written(records.groupBy("k1", "k2", "n").agg(F.min("id").alias("class_id")), "neardup-classes")
     set_name = F.concat_ws(":", "k1", "k2").alias("k")
-    membership = hot_key_join(records.select("id", set_name).distinct(), classes.select(set_name, "class_id"), "k", F.col("id"))
-    membership = written(membership.select("id", "class_id"), "neardup-members")
+    membership = hot_key_join(records.select("id", set_name, "copy").distinct(), classes.select(set_name, "class_id"), "k", F.col("id"))
+    copies = records.groupBy("copy").agg(F.min("id").alias("copy_id"))
+    membership = written(hot_key_join(written(membership.select("id", "class_id", "copy"), "neardup-members"), copies, "copy", F.col("id")).select("id", "class_id", "copy_id"), "neardup-members")
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * (1 - float(t))) // TASK_POSTINGS + 1)
 
@@ -352,21 +354,26 @@ def similar_classes(rows: DataFrame, id_column: str = "id", text_column: str = "
     return membership, written(links.select(F.least("id_a", "id_b").alias("class_lo"), F.greatest("id_a", "id_b").alias("class_hi"), "similarity"), "neardup-links")
 
 
-#: Classes of up to so many copies are written out as pairs of records; of larger ones each copy is paired
-#: with the class's name, which stands for it in pairs with other classes (see similar_classes for all of them).
+#: Byte-identical texts: up to so many copies are written out as pairs of records; of more each copy is paired with the
+#: smallest id among them, which stands for it in pairs with other texts (see similar_classes for all of them).
 EXPAND = 200
 
 
 def similar_pairs(membership: DataFrame, links: DataFrame, expand: int = EXPAND) -> DataFrame:
-    """``id_lo, id_hi``: pairs of records, copies included, from the two tables of similar_classes."""
-    size = membership.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"))
-    shown = hot_key_join(membership, size, "class_id", F.col("id")).filter((F.col("n") <= expand) | (F.col("id") == F.col("class_id"))).select("class_id", "id")
+    """``id_lo, id_hi``: pairs of records, copies included, from the two tables of similar_classes.
+
+    All pairs of different texts come out, whatever the size of their classes; only copies of one text are folded.
+    """
+    size = membership.groupBy("copy_id").agg(F.count(F.lit(1)).alias("n"))
+    sized = written(hot_key_join(membership, size, "copy_id", F.col("id")), "neardup-copies")
+    shown = sized.filter((F.col("n") <= expand) | (F.col("id") == F.col("copy_id"))).select("class_id", "id")
     lo, hi = shown.select(F.col("class_id").alias("class_lo"), F.col("id").alias("x")), shown.select(F.col("class_id").alias("class_hi"), F.col("id").alias("y"))
-    between = links.join(lo, "class_lo").join(hi, "class_hi").select(F.least("x", "y").alias("id_lo"), F.greatest("x", "y").alias("id_hi"))
-    several = shown.join(size.filter(F.col("n").between(2, expand)).select("class_id"), "class_id", "left_semi")
-    within = several.select("class_id", F.col("id").alias("id_lo")).join(several.select("class_id", F.col("id").alias("id_hi")), "class_id").filter("id_lo < id_hi").select("id_lo", "id_hi")
-    large = hot_key_join(membership, size.filter(F.col("n") > expand).select("class_id"), "class_id", F.col("id")).filter("id <> class_id")
-    return between.unionByName(within).unionByName(large.select(F.col("class_id").alias("id_lo"), F.col("id").alias("id_hi")))
+    between = pairs_join(links.select("class_lo", "class_hi"), lo, "class_lo", F.col("class_hi"), F.col("x"))
+    between = pairs_join(between, hi, "class_hi", F.col("x"), F.col("y")).select(F.least("x", "y").alias("id_lo"), F.greatest("x", "y").alias("id_hi"))
+    several = shown.join(shown.groupBy("class_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("class_id"), "class_id", "left_semi")
+    within = pairs_join(several.select("class_id", F.col("id").alias("id_lo")), several.select("class_id", F.col("id").alias("id_hi")), "class_id", F.col("id_lo"), F.col("id_hi"))
+    large = sized.filter((F.col("n") > expand) & (F.col("id") != F.col("copy_id")))
+    return between.unionByName(within.filter("id_lo < id_hi").select("id_lo", "id_hi")).unionByName(large.select(F.col("copy_id").alias("id_lo"), F.col("id").alias("id_hi")))
 
 
 def groups(membership: DataFrame, links: DataFrame, most_rounds: int = 40) -> DataFrame:

@@ -32,6 +32,15 @@ def p2_found(spark, d):
     return neardup.similar_pairs(*_similar(spark, d))
 
 
+def p2_members(spark, d):
+    """Class and smallest id of the same text per record: with p2_links all that p2_found folds."""
+    return _similar(spark, d)[0]
+
+
+def p2_links(spark, d):
+    return _similar(spark, d)[1]
+
+
 def p2_groups(spark, d):
     return neardup.groups(*_similar(spark, d))
 
@@ -72,7 +81,7 @@ stretches as (
 select id, case when max(len(regexp_extract_all(stretch, '[^{_SPACE}]+'))) > 400 then 'forced' else 'natural' end as cut from stretches group by id
 """
 
-QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found, "p8_shares": p8_shares}
+QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p2_found": p2_found, "p2_groups": p2_groups, "p2_members": p2_members, "p2_links": p2_links, "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found, "p8_shares": p8_shares}
 _P1 = """
 with k as (select lower(id) as id, any_value(embedding)::double[] as v from knowledge
   where len(embedding) = 64 and list_count(list_filter(embedding, lambda x: isfinite(x))) = 64 and list_count(list_filter(embedding, lambda x: x <> 0)) > 0 group by 1),

@@ -46,7 +46,7 @@ OWNER_PLACES = 256
 #: Sets that one set is checked with in a task.
 CHECKED_SETS = 2000
 #: Nodes visited, or pairs written out, at once.
-STEP = 1 << 21
+STEP = 1 << 20
 #: A posting's size holds two marks: its sets meet only those of the other side, and which side it is of.
 CROSS, SIDE, SIZE = np.uint32(1 << 31), np.uint32(1 << 30), np.uint32((1 << 30) - 1)
 
@@ -296,7 +296,8 @@ class PrefixTrie:
         start = np.flatnonzero(np.concatenate([[True], change])) if len(rec) else np.empty(0, np.int64)
         length = np.diff(np.append(start, len(rec)))
         self.rec, self.size, self.mark = rec[start], (n[start] & SIZE).astype(np.int64), n[start] >> np.uint32(30)
-        room = np.repeat(self.size, length) - pos
+        self.start, self.room_at = start, np.repeat(self.size, length) - pos
+        room = self.room_at
         roots, root = np.unique(owner[start], return_inverse=True)
         self.n_roots, at = len(roots), root.astype(np.int64)
         held = lambda x: [np.full(len(roots), x, np.int64)]
@@ -341,7 +342,8 @@ class PrefixTrie:
         self.most = np.maximum.reduceat(sized, self.first_end) if len(sized) else sized
 
     def meet(self, t: Fraction) -> Iterator[tuple[np.ndarray, ...]]:
-        """Runs every probe through the trie: probe, probe it meets (not before it), how many n-grams they share."""
+        """Runs every probe through the trie: probe, probe it meets (not before it), how many n-grams they share and,
+        of the first MEETINGS of these, the places on both paths."""
         root = np.arange(len(self.parent))
         for level in self.levels[1:]:
             root[level] = root[self.parent[level]]
@@ -353,33 +355,40 @@ class PrefixTrie:
             at = stop
 
     def _traverse(self, probe: np.ndarray, t: Fraction) -> Iterator[tuple[np.ndarray, ...]]:
+        first_slot = np.append(0, self.path_end)
         node, overlap = self.root[probe].astype(np.int64), np.zeros(len(probe), np.int64)
+        places = np.zeros((2, MEETINGS, len(probe)), np.int32)
+        depth = 0
         while len(probe):
             n = self.children[node]
-            probe, overlap = np.repeat(probe, n), np.repeat(overlap, n)
+            probe, overlap, places = np.repeat(probe, n), np.repeat(overlap, n), np.repeat(places, n, axis=2)
             node = np.repeat(self.first_child[node] - np.cumsum(n) + n, n) + np.arange(len(probe))
             fits = (t.denominator * self.high[node] >= t.numerator * self.least[probe]) & (t.denominator * self.most[probe] >= t.numerator * self.low[node])
-            probe, node, overlap = probe[fits], node[fits], overlap[fits]
+            probe, node, overlap, places = probe[fits], node[fits], overlap[fits], places[:, :, fits]
             key = (probe.astype(np.uint64) << np.uint64(32)) | self.label[node].astype(np.uint64)
             slot = np.minimum(np.searchsorted(self.path, key), len(self.path) - 1)
             same = self.path[slot] == key
             need = needed(self.least[probe] + self.low[node], t)
             room = np.minimum(self.path_room[slot], self.room[node]) >= need - MEETINGS + 1
+            now = np.flatnonzero(same & room & (overlap < MEETINGS))
+            places[0, overlap[now], now], places[1, overlap[now], now] = slot[now] - first_slot[probe[now]], depth
             overlap = overlap + (same & room)
             # what is left of either path can't give a meeting, or leaves no room for the overlap that is needed
             left = np.minimum(self.path_end[probe] - slot - same, self.longest[node])
             go = (overlap > 0) | ((left > 0) & (~same | room))
-            probe, node, overlap = probe[go], node[go], overlap[go]
+            probe, node, overlap, places = probe[go], node[go], overlap[go], places[:, :, go]
             other = self.probe_of[node]
             hit = (other >= probe) & (overlap > 0)
             if hit.any():
-                yield probe[hit], other[hit], overlap[hit]
+                yield probe[hit], other[hit], overlap[hit], places[:, :, hit]
             go = self.longest[node] > 0
-            probe, node, overlap = probe[go], node[go], overlap[go]
+            probe, node, overlap, places = probe[go], node[go], overlap[go], places[:, :, go]
+            depth += 1
 
     def pairs(self, t: Fraction) -> Iterator[tuple[np.ndarray, ...]]:
-        """Sets that meet: two sets, their sizes, how many n-grams they share here."""
-        for probe, other, overlap in self.meet(t):
+        """Sets that meet: two sets, their sizes, and at how many of the first MEETINGS n-grams that they share here
+        both have room for the overlap that they need."""
+        for probe, other, overlap, places in self.meet(t):
             times = self.ends[probe] * self.ends[other]
             edges = np.cumsum(times)
             at = 0
@@ -393,9 +402,16 @@ class PrefixTrie:
                 good = _fits(self.size[a], self.size[b], t) & (self.rec[a] != self.rec[b]) & ((probe[own] != other[own]) | (a < b))
                 good &= (self.mark[a] < 2) | (self.mark[a] != self.mark[b])  # of two sides, where there are sides
                 a, b, own = a[good], b[good], own[good]
+                need = needed(self.size[a] + self.size[b], t) - MEETINGS + 1
+                met = np.zeros(len(a), np.int64)
+                for m in range(MEETINGS):
+                    room = np.minimum(self.room_at[self.start[a] + places[0, m, own]], self.room_at[self.start[b] + places[1, m, own]])
+                    met += (overlap[own] > m) & (room >= need)
+                good = met > 0
+                a, b, met = a[good], b[good], met[good]
                 swap = self.rec[a] > self.rec[b]
                 a, b = np.where(swap, b, a), np.where(swap, a, b)
-                yield self.rec[a], self.rec[b], self.size[a], self.size[b], overlap[own]
+                yield self.rec[a], self.rec[b], self.size[a], self.size[b], met
                 at = stop
 
 

@@ -54,13 +54,30 @@ def pairs_join(left: DataFrame, right: DataFrame, key: str, left_by: Column, rig
 SKETCH_ROWS = 1 << 17
 
 
-def sketch_semi(big: DataFrame, keys: DataFrame, key: str, rows: int = SKETCH_ROWS) -> DataFrame:
-    """Most rows of ``big`` whose ``key`` isn't in ``keys`` go, no other row does: what a join that follows
-    would drop needn't be shuffled. The sketch is a bit set of fixed size (``rows`` rows at most), so it may be
-    broadcast whatever the number of keys; with many more keys than bits it merely keeps more rows.
+def sketch_mark(big: DataFrame, keys: DataFrame, key: str, rows: int = SKETCH_ROWS) -> DataFrame:
+    """Adds ``_maybe``: false where ``key`` isn't in ``keys`` for certain.
+
+    The sketch is a bit set of fixed size (``rows`` rows at most), so it may be broadcast whatever the number of keys; with
+    many more keys than bits it merely marks more rows.
     """
     h = F.xxhash64(key)
     row = F.pmod(h, F.lit(rows)).alias("_row")
     bit = lambda: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.shiftright(F.xxhash64(key), 24), F.lit(63)).cast("int"))
     sketch = keys.filter(F.col(key).isNotNull()).select(row, bit().alias("_bit")).groupBy("_row").agg(F.bit_or("_bit").alias("_bits"))
-    return big.withColumn("_row", row).join(F.broadcast(sketch), "_row").filter(F.col("_bits").bitwiseAND(bit()) != 0).drop("_row", "_bits")
+    marked = big.withColumn("_row", row).join(F.broadcast(sketch), "_row", "left")
+    return marked.withColumn("_maybe", F.coalesce(F.col("_bits").bitwiseAND(bit()) != 0, F.lit(False))).drop("_row", "_bits")
+
+
+def sketch_semi(big: DataFrame, keys: DataFrame, key: str, rows: int = SKETCH_ROWS) -> DataFrame:
+    """Most rows of ``big`` whose ``key`` isn't in ``keys`` go, no other row does: what a join that follows
+    would drop needn't be shuffled (see sketch_mark)."""
+    return sketch_mark(big, keys, key, rows).filter("_maybe").drop("_maybe")
+
+
+def lookup(big: DataFrame, small: DataFrame, key: str, spread_by: Column) -> DataFrame:
+    """Left join of ``big`` with ``small`` (one row per key), for keys that few rows of ``big`` find: only rows whose key may
+    be there are shuffled, hot keys salted (see hot_key_join), the others get nulls where they are."""
+    marked = sketch_mark(big, small, key)
+    met = hot_key_join(marked.filter("_maybe").drop("_maybe"), small, key, spread_by, "left")
+    rest = marked.filter(~F.col("_maybe")).drop("_maybe")
+    return met.unionByName(rest, allowMissingColumns=True)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.llm.tokenizing import steps_of
-from strataloom.operators.skew import hot_key_join, pairs_join, sketch_semi
+from strataloom.operators.skew import lookup, pairs_join, sketch_semi
 from strataloom.session import written
 
 #: Fixed: runs of letters and digits are words.
@@ -461,7 +461,7 @@ def _checker(t: Fraction):
 
 def _words(rows: DataFrame, id_column: str, text_column: str) -> DataFrame:
     texts = rows.select(F.col(id_column).cast("string").alias("id"), F.col(text_column).alias("text")).filter(F.col("id").isNotNull() & F.col("text").isNotNull())
-    return texts.select("id", F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)).alias("words"), F.unhex(F.sha2("text", 256)).alias("copy"))
+    return texts.select("id", F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)).alias("words"), F.substring(F.unhex(F.sha2("text", 256)), 1, 16).alias("copy"))
 
 
 def similar_classes(rows: DataFrame, id_column: str = "id", text_column: str = "content", width: int = 5, threshold: str = "0.8") -> tuple[DataFrame, DataFrame]:
@@ -486,15 +486,15 @@ def similar_classes(rows: DataFrame, id_column: str = "id", text_column: str = "
     for r in blocks.toLocalIterator():  # as many bytes as cells
         table[r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] = np.frombuffer(r["counts"], np.uint8)
     shared = spark.sparkContext.broadcast(table.tobytes())
-    records = survey.filter("id is not null").select("id", "n", "k1", "k2", "copy")
-    classes = written(records.groupBy("k1", "k2", "n").agg(F.min("id").alias("class_id")), "neardup-classes")
-    same_name = classes.groupBy("k1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    if same_name.limit(1).count():
+    records = written(survey.filter("id is not null").select("id", "n", "k1", "k2", "copy").distinct(), "neardup-records")
+    classes = written(records.groupBy("k1", "k2", "n").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("several")), "neardup-classes")
+    if classes.groupBy("k1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count():
         raise RuntimeError("two n-gram sets agree in 64 of 128 bits of their names")
-    set_name = F.concat_ws(":", "k1", "k2").alias("k")
-    membership = hot_key_join(records.select("id", set_name, "copy").distinct(), classes.select(set_name, "class_id"), "k", F.col("id"))
-    copies = records.groupBy("copy").agg(F.min("id").alias("copy_id"))
-    membership = written(hot_key_join(written(membership.select("id", "class_id", "copy"), "neardup-members"), copies, "copy", F.col("id")).select("id", "class_id", "copy_id"), "neardup-members")
+    # most records are alone in their class and with their text: only the others are joined
+    copies = records.groupBy("copy").agg(F.min("id").alias("copy_id"), F.count(F.lit(1)).alias("several")).filter("several > 1").drop("several")
+    named = lookup(records.select("id", "k1", "copy"), classes.filter("several > 1").select("k1", "class_id"), "k1", F.col("id"))
+    named = lookup(written(named.select("id", "class_id", "copy"), "neardup-members"), copies, "copy", F.col("id"))
+    membership = written(named.select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("copy_id", "id").alias("copy_id")), "neardup-members")
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * (1 - float(t))) // TASK_POSTINGS + 1)
 
@@ -530,15 +530,17 @@ def similar_pairs(membership: DataFrame, links: DataFrame, expand: int = EXPAND)
 
     All pairs of different texts come out, whatever the size of their classes; only copies of one text are folded.
     """
-    size = membership.groupBy("copy_id").agg(F.count(F.lit(1)).alias("n"))
-    sized = written(hot_key_join(membership, size, "copy_id", F.col("id")), "neardup-copies")
-    shown = sized.filter((F.col("n") <= expand) | (F.col("id") == F.col("copy_id"))).select("class_id", "id")
+    size = membership.groupBy("copy_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    sized = written(lookup(membership, size, "copy_id", F.col("id")), "neardup-copies")
+    many = F.coalesce(F.col("n") > expand, F.lit(False))
+    shown = sized.filter(~many | (F.col("id") == F.col("copy_id"))).select("class_id", "id")
     lo, hi = shown.select(F.col("class_id").alias("class_lo"), F.col("id").alias("x")), shown.select(F.col("class_id").alias("class_hi"), F.col("id").alias("y"))
-    between = pairs_join(links.select("class_lo", "class_hi"), lo, "class_lo", F.col("class_hi"), F.col("x"))
-    between = pairs_join(between, hi, "class_hi", F.col("x"), F.col("y")).select(F.least("x", "y").alias("id_lo"), F.greatest("x", "y").alias("id_hi"))
-    several = shown.join(shown.groupBy("class_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("class_id"), "class_id", "left_semi")
+    between = pairs_join(links.select("class_lo", "class_hi"), sketch_semi(lo, links, "class_lo"), "class_lo", F.col("class_hi"), F.col("x"))
+    between = pairs_join(between, sketch_semi(hi, links, "class_hi"), "class_hi", F.col("x"), F.col("y")).select(F.least("x", "y").alias("id_lo"), F.greatest("x", "y").alias("id_hi"))
+    # a class of several has a record that isn't the one that names it
+    several = sketch_semi(shown, sized.filter("class_id <> id"), "class_id")
     within = pairs_join(several.select("class_id", F.col("id").alias("id_lo")), several.select("class_id", F.col("id").alias("id_hi")), "class_id", F.col("id_lo"), F.col("id_hi"))
-    large = sized.filter((F.col("n") > expand) & (F.col("id") != F.col("copy_id")))
+    large = sized.filter(many & (F.col("id") != F.col("copy_id")))
     return between.unionByName(within.filter("id_lo < id_hi").select("id_lo", "id_hi")).unionByName(large.select(F.col("copy_id").alias("id_lo"), F.col("id").alias("id_hi")))
 
 
@@ -563,5 +565,5 @@ def groups(membership: DataFrame, links: DataFrame, most_rounds: int = 40) -> Da
     else:
         raise RuntimeError("groups not settled; raise most_rounds")
     of_class = label.withColumnRenamed("u", "class_id").withColumnRenamed("l", "group_id").join(degree.withColumnRenamed("u", "class_id"), "class_id")
-    out = hot_key_join(membership, of_class, "class_id", F.col("id"), "left")
+    out = lookup(membership, of_class, "class_id", F.col("id"))
     return out.select("id", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

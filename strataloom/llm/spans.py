@@ -2,8 +2,8 @@
 
 Of every run of ``LENGTH`` characters the k-gram with the least hash is its anchor, so equal runs have equal
 anchors. The anchors of a batch of texts are written as one immutable run of the index: a table bucketed and sorted
-by hash that has the least and the greatest text of each hash. A new batch is merge-joined with the runs of earlier
-batches, bucket by bucket; runs are compacted into one as they become many. Around the anchors
+by hash that has the least and the greatest text of each hash. Each new batch is merge-joined with the runs of earlier
+batches, bucket by bucket and without a shuffle; runs are compacted into one as they become many. Around the anchors
 that occur in two texts the characters themselves are compared, and only what is equal character by character counts.
 
 Nothing is compared pair by pair: texts meet as least and greatest id per hash, per context of an anchor and
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataloom.operators.skew import hot_key_join, sketch_semi
-from strataloom.session import shared_dir, written
+from strataloom.session import removed, shared_dir, written
 
 LENGTH = 200
 GRAM = 80
@@ -31,6 +31,8 @@ REACH = LENGTH - GRAM  # how far a run may begin before its anchor
 SEGMENT = 1 << 20
 #: Contexts of one anchor that a task compares; those of a more frequent anchor are grouped by Spark.
 FREQUENT = 20_000
+#: Batches that a corpus comes in.
+BATCHES = 6
 #: Contexts per task.
 TASK_CONTEXTS = 20_000
 
@@ -129,9 +131,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 class SpanIndex:
     """Immutable runs in the shared folder, each bucketed and sorted by hash: ``hash, lo, hi`` (least and greatest text).
 
-    ``add`` writes a batch of anchors as a new run, ``shared`` merge-joins the runs, ``compact`` makes one run of all. A
-    run is never changed; a compaction writes a new one and then forgets the old ones. A passage that a third of
-    all texts have is one row of a run: anchors are combined before they are shuffled.
+    ``arrive`` takes a batch: its anchors become a new run, which is merge-joined with each earlier run; what both have is
+    the outcome. Where there are more than ``most_runs`` then, ``compact`` merges the two least into one, so the work of all
+    compactions grows as the corpus times the logarithm of the batches. A run is never changed; a compaction writes a new
+    one and then removes the old ones. Runs have equal buckets, so neither join nor compaction shuffles. A passage that
+    a third of all texts have is one row of a run: anchors are combined before they are shuffled.
     """
 
     def __init__(self, spark: SparkSession, most_runs: int = 4, buckets: int | None = None):
@@ -139,46 +143,74 @@ class SpanIndex:
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.folder = f"{shared_dir(spark)}/spans-{uuid.uuid4().hex}"
         self.runs: list[str] = []
+        self.batches: dict[str, int] = {}
+        self.compactions = 0
 
     def _write(self, run: DataFrame) -> str:
         name = f"span_run_{uuid.uuid4().hex}"
         run.write.bucketBy(self.buckets, "hash").sortBy("hash").option("path", f"{self.folder}/{name}").saveAsTable(name)
         return name
 
-    def add(self, postings: DataFrame) -> None:
-        """``postings``: ``hash, doc`` of the batch."""
-        self.runs.append(self._write(postings.groupBy("hash").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))))
+    @staticmethod
+    def _grouped(postings: DataFrame) -> DataFrame:
+        return postings.groupBy("hash").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
+
+    def _kept(self, name: str) -> None:
+        self.runs.append(name)
+        self.batches[name] = 1
         if len(self.runs) > self.most_runs:
             self.compact()
 
-    def merged(self) -> DataFrame:
-        """All runs as one: ``hash, lo, hi``. Two runs are merged where their buckets lie; with more, what is merged moves on."""
+    def add(self, postings: DataFrame) -> None:
+        """``postings``: ``hash, doc`` of the batch."""
+        self._kept(self._write(self._grouped(postings)))
+
+    def _met(self, new: DataFrame) -> list[DataFrame]:
+        """What a run has in common with each earlier run, texts that came again aside."""
+        earlier = [self.spark.table(r).select("hash", F.col("lo").alias("lo2"), F.col("hi").alias("hi2")) for r in self.runs]
+        return [new.join(old.hint("merge"), "hash").filter(F.least("lo", "lo2") < F.greatest("hi", "hi2")).select("hash") for old in earlier]
+
+    def known(self, postings: DataFrame) -> DataFrame:
+        """The hashes of a new batch that texts of earlier batches have."""
+        none = self.spark.createDataFrame([], "hash bigint")
+        return reduce(DataFrame.unionByName, self._met(self._grouped(postings)), none).distinct()
 
-        def merge(a: DataFrame, b: DataFrame) -> DataFrame:
-            both = a.join(b.select("hash", F.col("lo").alias("lo2"), F.col("hi").alias("hi2")).hint("merge"), "hash", "full")
-            return both.select("hash", F.least("lo", "lo2").alias("lo"), F.greatest("hi", "hi2").alias("hi"))
+    def arrive(self, postings: DataFrame) -> DataFrame:
+        """Adds a batch; gives the hashes that two of its texts share, or one of its texts and one of an earlier batch."""
+        name = self._write(self._grouped(postings))
+        new = self.spark.table(name)
+        met = written(reduce(DataFrame.unionByName, self._met(new), new.filter("lo < hi").select("hash")), "spans-met")
+        self._kept(name)
+        return met
 
-        return reduce(merge, map(self.spark.table, self.runs))
+    def _merge(self, a: DataFrame, b: DataFrame) -> DataFrame:
+        both = a.join(b.select("hash", F.col("lo").alias("lo2"), F.col("hi").alias("hi2")).hint("merge"), "hash", "full")
+        return both.select("hash", F.least("lo", "lo2").alias("lo"), F.greatest("hi", "hi2").alias("hi"))
+
+    def merged(self) -> DataFrame:
+        """All runs as one: ``hash, lo, hi``. Two runs are merged where their buckets lie; with more, what is merged moves on."""
+        return reduce(self._merge, map(self.spark.table, self.runs))
 
     def compact(self) -> None:
-        old = self.runs
-        self.runs = [self._write(self.merged())]
-        for name in old:
-            self.spark.sql(f"drop table {name}")
+        """Merges the two runs of the fewest batches into a new one."""
+        by_age = sorted(self.runs, key=lambda r: self.batches[r])
+        old, self.runs = by_age[:2], by_age[2:]
+        name = self._write(self._merge(*map(self.spark.table, old)))
+        self.runs.append(name)
+        self.batches[name] = sum(self.batches.pop(r) for r in old)
+        self.compactions += 1
+        for r in old:
+            self.spark.sql(f"drop table {r}")
+            removed(self.spark, f"{self.folder}/{r}")
 
     def shared(self) -> DataFrame:
         """Hashes that occur in two texts at least, whether of one run or of two."""
         return self.merged().filter("lo < hi").select("hash")
 
-    def known(self, postings: DataFrame) -> DataFrame:
-        """The hashes of a new batch that texts of earlier batches have."""
-        new = postings.groupBy("hash").agg(F.min("doc").alias("_lo"), F.max("doc").alias("_hi"))
-        met = new.join(self.merged().hint("merge"), "hash")
-        return met.filter(~((F.col("lo") == F.col("hi")) & (F.col("lo") == F.col("_lo")) & (F.col("lo") == F.col("_hi")))).select("hash")
-
     def close(self) -> None:
         for name in self.runs:
             self.spark.sql(f"drop table if exists {name}")
+        removed(self.spark, self.folder)
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,35 +306,65 @@ def _compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 _KEYS = ["hash", "k1", "k2", "lead"]
 
 
-def _frequent_ranges(contexts: DataFrame) -> DataFrame:
-    """The same for anchors with very many contexts: their windows are grouped by Spark, as texts."""
-    size = F.length("context")
-    low, high = F.greatest(F.lit(0), LENGTH + F.col("lead") - size), F.col("lead")
-    windows = contexts.filter(low <= high).withColumn("o", F.explode(F.sequence(low, high)))
-    windows = windows.withColumn("window", F.substring(F.col("context"), F.col("lead") - F.col("o") + 1, F.lit(LENGTH)))
-    equal = windows.groupBy("window").agg(F.min("lo").alias("a"), F.max("hi").alias("b")).filter("a < b").select("window")
-    return windows.join(equal, "window", "left_semi").select(*_KEYS, F.col("o").alias("first"), F.col("o").alias("last"))
+def _window_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each context its offsets and a hash of the window at each."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2048):
+            part = batch.slice(at, 2048)
+            texts, lead = part.column("context").to_pylist(), part.column("lead").to_numpy()
+            ends = np.cumsum([len(x) for x in texts])
+            starts = ends - [len(x) for x in texts]
+            hashes = window_hashes(code_points("".join(texts)), LENGTH)
+            places = [np.arange(s, e - LENGTH + 1) for s, e in zip(starts, ends)]
+            row = np.repeat(np.arange(len(texts)), [len(x) for x in places])
+            place = np.concatenate(places) if places else np.empty(0, np.int64)
+            arrays = [part.column(c).take(pa.array(row)) for c in ("hash", "k1", "k2", "lead", "lo", "hi")]
+            offset = (lead[row] - (place - starts[row])).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(offset), pa.array(hashes[place].view(np.int64))], names=["hash", "k1", "k2", "lead", "lo", "hi", "o", "name"])
 
 
-def shared_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", batches: int = 2, frequent: int = FREQUENT) -> DataFrame:
+def _frequent_ranges(contexts: DataFrame) -> DataFrame:
+    """The same for anchors with very many contexts, grouped by Spark: windows meet by hash, one row per distinct
+    hash and task; only windows that two texts have by hash are then told apart by their characters, again combined before
+    they are shuffled."""
+    slim = contexts.select("hash", "k1", "k2", "lead", "lo", "hi", "context").filter(F.length("context") >= LENGTH)
+    windows = written(slim.mapInArrow(_window_names, "hash bigint, k1 bigint, k2 bigint, lead int, lo bigint, hi bigint, o int, name bigint"), "spans-windows")
+    equal = windows.groupBy("hash", "name").agg(F.min("lo").alias("a"), F.max("hi").alias("b")).filter("a < b").select(F.xxhash64("hash", "name").alias("w"))
+    equal = written(equal.distinct(), "spans-equal")
+    keyed = hot_key_join(sketch_semi(windows.withColumn("w", F.xxhash64("hash", "name")), equal, "w"), equal, "w", F.col("k1"))
+    texts = contexts.select(*_KEYS, "context")
+    per_context = keyed.groupBy(*_KEYS).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_list("o").alias("os"))  # REACH + 1 at most
+    shown = per_context.join(texts, _KEYS).withColumn("o", F.explode("os"))
+    shown = shown.withColumn("window", F.substring(F.col("context"), F.col("lead") - F.col("o") + 1, F.lit(LENGTH))).drop("context", "os")
+    name = F.struct(F.xxhash64(F.lit(3), "window"), F.xxhash64(F.lit(4), "window"), "hash").alias("w")
+    named = written(shown.select(*_KEYS, "o", "lo", "hi", "window", F.to_json(name).alias("w")), "spans-named")
+    alike = named.groupBy("w").agg(F.min("lo").alias("a"), F.max("hi").alias("b"), F.min("window").alias("x"), F.max("window").alias("y")).filter("a < b")
+    alike = written(alike, "spans-alike")
+    if alike.filter("x <> y").limit(1).count():
+        raise RuntimeError("two windows agree in 128 bits of hash")
+    hit = hot_key_join(named.drop("window", "lo", "hi"), alike.select("w"), "w", F.col("k1"))
+    return hit.select(*_KEYS, F.col("o").alias("first"), F.col("o").alias("last"))
+
+
+def shared_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", batches: int = BATCHES, frequent: int = FREQUENT) -> DataFrame:
     """The longest stretches whose every character lies in a run of 200 characters that another text has too.
 
     Columns ``doc_id, span_start, span_len``, in Unicode characters from 0; touching stretches are one. Texts
     are told apart by id: rows that repeat an id are the same text and share nothing with each other. Null,
     empty and short texts have no span; null ids are left out; other columns are ignored, whatever their names.
-    An empty table gives no spans. The corpus goes through the index in ``batches``, as it would arrive.
+    An empty table gives no spans. The corpus goes through the index in ``batches``, as it would arrive: each is joined
+    with the runs of those before it, and the runs are compacted on the way.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_column).cast("bigint").alias("doc"), F.col(text_column).alias("text")).filter(F.col("doc").isNotNull() & (F.length("text") >= LENGTH))
+    every = written(fingerprints(texts).withColumn("batch", F.pmod(F.xxhash64("doc"), F.lit(batches)).cast("int")), "spans-postings", by="batch")
     index = SpanIndex(spark)
-    postings = []
-    for b in range(batches):
-        postings.append(written(fingerprints(texts.filter(F.pmod(F.xxhash64("doc"), F.lit(batches)) == b)), "spans-postings"))
-        index.add(postings[-1])
-    shared = written(index.shared(), "spans-shared")
-    index.close()
-    every = reduce(DataFrame.unionByName, postings)
-    anchors = written(hot_key_join(sketch_semi(every, shared, "hash"), shared, "hash", F.col("doc")), "spans-anchors")
+    try:
+        met = [index.arrive(every.filter(F.col("batch") == b)) for b in range(batches)]
+    finally:
+        index.close()
+    shared = written(reduce(DataFrame.unionByName, met).distinct(), "spans-shared")
+    anchors = written(hot_key_join(sketch_semi(every.drop("batch"), shared, "hash"), shared, "hash", F.col("doc")), "spans-anchors")
     places = anchors.groupBy("doc").agg(F.array_distinct(F.collect_list(F.struct("pos", "hash"))).alias("found"))  # as many as the text has
     kept = sketch_semi(texts, anchors.select("doc"), "doc").join(places, "doc").select("doc", "text", "found")
     around = kept.mapInArrow(_contexts, "hash bigint, doc bigint, pos int, lead int, context string")

@@ -107,6 +107,33 @@ def test_index_batches_and_compaction(spark):
     single.close()
 
 
+def test_arrival_by_batches(spark, monkeypatch):
+    """Batch after batch the index tells what is shared with all that came before; runs are compacted on the way and removed."""
+    import os
+
+    texts = {i: t for i, t in corpus(8).items() if t}
+    postings = S.fingerprints(spark.createDataFrame(list(texts.items()), "doc bigint, text string")).cache()
+    index, seen, told = S.SpanIndex(spark, most_runs=2), {}, set()
+    for b in range(7):
+        batch = postings.filter(f"doc % 7 = {b}")
+        rows = batch.collect()
+        for r in rows:
+            seen.setdefault(r["hash"], set()).add(r["doc"])
+        got = {r[0] for r in index.arrive(batch).collect()}
+        assert got == {r["hash"] for r in rows if len(seen[r["hash"]]) > 1}
+        told |= got
+    assert index.compactions == 5 and len(index.runs) == 2
+    assert told == {h for h, d in seen.items() if len(d) > 1}
+    index.close()
+    assert not os.path.exists(index.folder)
+    postings.unpersist()
+    compactions = []
+    compact = S.SpanIndex.compact
+    monkeypatch.setattr(S.SpanIndex, "compact", lambda self: (compactions.append(1), compact(self)))
+    S.shared_spans(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"))
+    assert compactions  # the query's own batches reach it
+
+
 def test_passage_of_a_third_of_all_texts(spark):
     rng = random.Random(1)
     word = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))

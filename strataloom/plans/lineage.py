@@ -15,10 +15,10 @@ def p4_found(spark, d):
 
 
 def p4_satellite_periods(spark, d):
-    """Both satellites as views: how many rows each took and how many still hold, per month of the load."""
-    marked = history.mark_changes(history.latest_states(table(spark, d, "knowledge_snapshots")), "knowledge_id", "snapshot_at")
+    """Both satellites as views: the period of each row that they took."""
+    filled = history.filled(table(spark, d, "knowledge_snapshots"))
     views = [
-        history.satellite_view(history.satellite_inserts(marked, "knowledge_id", "snapshot_at", name), "knowledge_id", "snapshot_at").select(F.lit(name).alias("satellite"), "knowledge_id", F.unix_seconds("snapshot_at").alias("start_s"), F.unix_seconds("valid_to").alias("end_s"))
+        filled.view(name).select(F.lit(name).alias("satellite"), "knowledge_id", F.unix_seconds("snapshot_at").alias("start_s"), F.unix_seconds("valid_to").alias("end_s"))
         for name in history.SATELLITES
     ]
     return views[0].unionByName(views[1])

@@ -1,7 +1,9 @@
 """The most similar vectors of every vector, by additive quantisation and exact reranking.
 
 Vectors are coded as a sum of full-dimensional codewords, found by beam search over residual codebooks; the
-first codebook also names the cell a vector lies in. Codes and norms, some twenty bytes a vector, are all that
+first codebook also names the cell a vector lies in. With more vectors than a bounded sample can fit cells for, a
+second codebook, fitted on what the first leaves, cuts every cell into finer ones, so the finest cells grow in number with the vectors and
+the codes that a query scans stay few. Codes and norms, some twenty bytes a vector, are all that
 travels to the queries: a group of query cells gets the codes of the cells around it, scores them by lookup
 tables and keeps the best few per query. Their true vectors are then fetched once per group and candidates are
 reranked exactly.
@@ -39,15 +41,19 @@ class Settings:
     probes: int = 80  # cells searched for the queries of one cell
     left_over: int = 1024  # candidates that are scored by all codebooks
     shortlist: int = 48  # candidates that are reranked exactly
-    group_rows: int = 16_384  # queries of one task
+    fine_probes: int = 128  # where cells are cut: finest cells searched, of those within the probed cells
+    group_rows: int = 4096  # queries of a group of cells
+    group_cells: int = 12  # cells of a group, where they hold more: their surroundings are sent to the group as a whole
+    task_rows: int = 65_536  # queries of one task
     slice_rows: int = 4_000_000  # codes that one task holds
-    most_cells: int = 4096
+    most_cells: int = 4096  # cells that the sample is good for; beyond, cells are cut
     direction_steps: int = 1 << 20  # resolution at which two directions are the same
 
 
 @dataclass(frozen=True)
 class Codebooks:
     cells: np.ndarray
+    cuts: np.ndarray  # what the finest cells of a cell add to its centre; one of zeros where cells aren't cut
     levels: np.ndarray
 
 
@@ -67,26 +73,39 @@ def _means(x: np.ndarray, k: int, rounds: int, rng) -> np.ndarray:
     return centres
 
 
+def wanted_cells(n_rows: int, s: Settings) -> tuple[int, int]:
+    """How many cells and finest cells so many vectors need: the finest ones grow as their number to the power 3/4."""
+    n = max(1.0, n_rows)
+    coarse = min(s.most_cells, 1 << max(0, round(np.log2(2 * n**0.5))))
+    return coarse, coarse if coarse < s.most_cells else max(coarse, 1 << max(0, round(np.log2(n**0.75 / 8))))
+
+
 def fit(sample: np.ndarray, n_rows: int, s: Settings) -> Codebooks:
     """Cells and residual codebooks from a sample of unit vectors."""
     rng = np.random.default_rng(7)
-    wanted = 1 << max(0, round(np.log2(2 * max(1.0, n_rows) ** 0.5)))
-    cells = _means(sample, int(min(wanted, s.most_cells, max(1, len(sample) // 8))), 6, rng)
+    coarse, finest = wanted_cells(n_rows, s)
+    cells = _means(sample, int(min(coarse, max(1, len(sample) // 8))), 6, rng)
     rest = sample - cells[_nearest(sample, cells)]
+    cuts = np.zeros((1, sample.shape[1]), np.float32)
+    if finest > len(cells):
+        cuts = _means(rest, min(256, -(-finest // len(cells))), 6, rng)
+        rest = rest - cuts[_nearest(rest, cuts)]
     levels = []
     for _ in range(s.codebooks):
         book = _means(rest, s.codewords, 5, rng)
         rest = rest - book[_nearest(rest, book)]
         levels.append(book)
-    return Codebooks(cells, np.stack(levels))
+    return Codebooks(cells, cuts, np.stack(levels))
 
 
 def beam_encode(x: np.ndarray, books: Codebooks, beam: int, coarse: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cell, codes and squared norms of unit vectors ``x``; the norms are those of the coded vector by the
+    """Cell, codes (the first is the cut of the cell) and squared norms of unit vectors ``x``; the norms are those of the coded vector by the
     first ``coarse`` codebooks and by all of them."""
     n, d = x.shape
     cell = _nearest(x, books.cells)
-    rest = (x - books.cells[cell])[:, None, :]
+    rest = x - books.cells[cell]
+    cut = _nearest(rest, books.cuts)
+    rest = (rest - books.cuts[cut])[:, None, :]
     codes = np.empty((n, 1, 0), dtype=np.uint8)
     rows = np.arange(n)[:, None]
     for book in books.levels:
@@ -104,13 +123,13 @@ def beam_encode(x: np.ndarray, books: Codebooks, beam: int, coarse: int) -> tupl
         codes = np.concatenate([codes[rows, parent], word[:, :, None].astype(np.uint8)], axis=2)
     first = (rest * rest).sum(2).argmin(1)
     codes = codes[rows[:, 0], first]
-    coded = books.cells[cell]
+    coded = books.cells[cell] + books.cuts[cut]
     norms = []
     for m, book in enumerate(books.levels):
         coded = coded + book[codes[:, m]]
         if m + 1 in (min(coarse, len(books.levels)), len(books.levels)):
             norms.append((coded * coded).sum(1))
-    return cell, codes, np.stack([norms[0], norms[-1]], axis=1).astype(np.float32)
+    return cell, np.concatenate([cut[:, None].astype(np.uint8), codes], axis=1), np.stack([norms[0], norms[-1]], axis=1).astype(np.float32)
 
 
 def score_by_tables(q: np.ndarray, books: Codebooks, cells: np.ndarray, codes: np.ndarray, norms: np.ndarray, coarse: int, left_over: int, shortlist: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,6 +140,9 @@ def score_by_tables(q: np.ndarray, books: Codebooks, cells: np.ndarray, codes: n
     """
     n = len(codes)
     score = (q @ books.cells.T).take(cells, axis=1)
+    if len(books.cuts) > 1:
+        score += (q @ books.cuts.T).take(codes[:, 0], axis=1)
+    codes = codes[:, 1:]
     for m in range(min(coarse, len(books.levels))):
         score += (q @ books.levels[m].T).take(codes[:, m], axis=1)
     rows = np.arange(len(q))[:, None]
@@ -203,7 +225,7 @@ def plan_groups(cells: np.ndarray, counts: np.ndarray, s: Settings) -> tuple[np.
     todo, groups = [np.flatnonzero(counts)], []
     while todo:
         part = todo.pop()
-        if len(part) < 2 or counts[part].sum() <= s.group_rows:
+        if len(part) < 2 or counts[part].sum() <= s.group_rows or len(part) <= s.group_cells and s.group_rows < counts.sum() / len(cells) * s.group_cells:
             groups.append(part)
             continue
         axis = np.linalg.svd(cells[part] - cells[part].mean(0), full_matrices=False)[2][0]
@@ -228,25 +250,42 @@ def probed(cells: np.ndarray, queries: np.ndarray, counts: np.ndarray, probes: i
     return held[np.argpartition(-near, p - 1, axis=1)[:, :p]]
 
 
+def finest_around(books: Codebooks, cell: int, cut: int, around: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
+    """For queries of one finest cell the nearest finest ones within the cells ``around``: cells and cuts."""
+    centre = books.cells[cell] + books.cuts[cut]
+    near, cut_part = books.cells[around] @ centre, books.cuts @ centre
+    cross = books.cells[around] @ books.cuts.T
+    norms = (books.cells[around] ** 2).sum(1)[:, None] + 2 * cross + (books.cuts**2).sum(1)
+    score = (near[:, None] + cut_part - 0.5 * norms).ravel()
+    best = np.argpartition(-score, min(probes, len(score)) - 1)[:probes]
+    return around[best // len(books.cuts)], best % len(books.cuts)
+
+
 def _scorer(shared, counts: np.ndarray, s: Settings):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         books: Codebooks = shared.value
         is_query = table.column("vec").is_valid().to_numpy(zero_copy_only=False).astype(bool)
         asked, held = table.filter(pa.array(is_query)), table.filter(pa.array(~is_query))
-        held_cell = held.column("cell").to_numpy()
-        order = np.argsort(held_cell, kind="stable")
-        held_cell, index = held_cell[order], held.column("idx").to_numpy()[order]
-        codes = _matrix(held.column("codes"), np.uint8, s.codebooks)[order]
+        n_cuts = len(books.cuts)
+        codes = _matrix(held.column("codes"), np.uint8, s.codebooks + 1)
+        held_cell = held.column("cell").to_numpy().astype(np.int64)
+        held_fine = held_cell * n_cuts + codes[:, 0]
+        order = np.argsort(held_fine, kind="stable")
+        held_cell, held_fine, index, codes = held_cell[order], held_fine[order], held.column("idx").to_numpy()[order], codes[order]
         norms = _matrix(held.column("norms"), np.float32, 2)[order]
-        starts = np.searchsorted(held_cell, np.arange(len(books.cells) + 1))
         q = _matrix(asked.column("vec"), np.float32, s.dimensions).astype(np.float64)
         q = (q / np.sqrt((q * q).sum(1))[:, None]).astype(np.float32)
-        q_cell, q_index = asked.column("cell").to_numpy(), asked.column("idx").to_numpy()
+        q_cell, q_index = asked.column("cell").to_numpy().astype(np.int64), asked.column("idx").to_numpy()
+        q_fine = q_cell * n_cuts + (_nearest(q - books.cells[q_cell], books.cuts) if n_cuts > 1 else 0)
         out_q, out_c, out_s = [], [], []
-        for c in np.unique(q_cell):
-            mine = np.flatnonzero(q_cell == c)
+        for fine in np.unique(q_fine):
+            c, mine = fine // n_cuts, np.flatnonzero(q_fine == fine)
             around = probed(books.cells, np.array([c]), counts, s.probes)[0]
-            rows = np.concatenate([np.arange(starts[a], starts[a + 1]) for a in around])
+            if n_cuts > 1:
+                around, cut = finest_around(books, c, fine % n_cuts, around, s.fine_probes)
+                around = around * n_cuts + cut
+            first, last = np.searchsorted(held_fine, around), np.searchsorted(held_fine, around, side="right")
+            rows = np.concatenate([np.arange(x, y) for x, y in zip(first, last)])
             if not len(rows):
                 continue
             its_codes, its_cells, its_norms = codes[rows], held_cell[rows], norms[rows]
@@ -323,7 +362,7 @@ def most_similar(rows: DataFrame, id_column: str = "id", vector_column: str = "e
     smaller id. A record is never its own neighbour; with fewer than ``k`` others, it has them all.
     Null ids, null, short, long or not finite vectors and vectors of zeros are left out; of an id's repeated rows
     one counts; other columns are ignored. An empty table gives no rows. The search is approximate: a true neighbour
-    may be missed, a similarity is never wrong.
+    may be missed.
     """
     s = settings
     spark = rows.sparkSession
@@ -341,7 +380,7 @@ def most_similar(rows: DataFrame, id_column: str = "id", vector_column: str = "e
     sample = _matrix(picked.column("vec"), np.float32, s.dimensions).astype(np.float64)
     sample = (sample / np.sqrt((sample * sample).sum(1))[:, None]).astype(np.float32)
     books = fit(sample, n, s)
-    shared = spark.sparkContext.broadcast(books)  # at most most_cells + codebooks * codewords vectors
+    shared = spark.sparkContext.broadcast(books)  # at most most_cells + (codebooks + 1) * codewords vectors
 
     coded = written(
         base.select("rep", "ids", "vec").mapInArrow(_coder(shared, s), "rep string, ids array<string>, vec binary, cell int, codes binary, norms binary").withColumn("idx", F.monotonically_increasing_id()),
@@ -352,7 +391,7 @@ def most_similar(rows: DataFrame, id_column: str = "id", vector_column: str = "e
         counts[r["cell"]] = r["count"]
     group, seekers = plan_groups(books.cells, counts, s)
     sizes = np.bincount(group[counts > 0], weights=counts[counts > 0]).astype(np.int64)
-    q_slices = np.maximum(1, -(-sizes // (2 * s.group_rows)))
+    q_slices = np.maximum(1, -(-sizes // s.task_rows))
     halo = np.zeros(len(sizes), dtype=np.int64)
     for c, gs in enumerate(seekers):
         halo[gs] += counts[c]

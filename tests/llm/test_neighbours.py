@@ -40,7 +40,7 @@ def test_recall_on_table(spark):
     assert len(pairs) > 20 and len(found & pairs) >= 0.99 * len(pairs) and not found - pairs
 
 
-@pytest.mark.parametrize("change", [{}, {"group_rows": 100, "slice_rows": 300}])
+@pytest.mark.parametrize("change", [{}, {"group_rows": 100, "slice_rows": 300, "task_rows": 100}, {"most_cells": 4, "fine_probes": 200, "group_rows": 100}])
 def test_slices_and_copies(spark, change):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(900, 8)).astype(np.float32)
@@ -68,3 +68,33 @@ def test_odd_rows(spark):
     one = {r["id"]: r["neighbours"] for r in N.most_similar(df.filter("id = 'c'"), settings=s).collect()}
     assert one == {"c": []}
     assert N.most_similar(df.limit(0), settings=s).count() == 0
+
+
+def test_cells_grow_with_the_vectors():
+    s = N.Settings()
+    for n in (10**4, 10**6, 10**7, 10**8, 10**9):
+        coarse, finest = N.wanted_cells(n, s)
+        assert coarse <= s.most_cells and finest <= 256 * coarse
+    assert s.fine_probes / N.wanted_cells(10**8, s)[1] * 10**8 < 100_000
+    # groups take cells, so what surrounds them isn't sent to each cell
+    rng = np.random.default_rng(0)
+    cells = rng.normal(size=(4096, 16)).astype(np.float32)
+    group, seekers = N.plan_groups(cells, np.full(4096, 24_000), s)
+    assert 6 <= np.bincount(group).min() and np.bincount(group).max() <= s.group_cells
+    assert np.mean([len(x) for x in seekers]) < s.probes
+
+
+def test_cut_cells(spark):
+    """Few cells, each cut into many: most codes aren't looked at, recall holds."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(150, 16))
+    x = (centres[rng.integers(0, 150, 6000)] + 0.35 * rng.normal(size=(6000, 16))).astype(np.float32)
+    s = N.Settings(dimensions=16, codebooks=8, coarse_books=4, codewords=64, most_cells=16, probes=8, fine_probes=60, shortlist=48)
+    finest = N.wanted_cells(6000, s)[1]
+    books = N.fit(x / np.sqrt((x * x).sum(1))[:, None], 10**6, s)
+    assert len(books.cells) == 16 and len(books.cuts) == 256 and finest > 16
+    ids = [f"r{i:04d}" for i in range(6000)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "id string, embedding array<float>")
+    got = {r["id"]: [n["id"] for n in r["neighbours"]] for r in N.most_similar(df, settings=s).collect()}
+    want = brute(ids, x, 10)
+    assert np.mean([len(set(got[i]) & {a for a, _ in want[i]}) / 10 for i in ids]) > 0.9

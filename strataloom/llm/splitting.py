@@ -58,18 +58,28 @@ def cut_strengths(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
     return out
 
 
-def piece_bounds(strengths: np.ndarray, limit: int, overlap: int) -> list[tuple[int, int, str]]:
+def without_boundary(table: StrongestCut, width: int) -> bool:
+    """Whether ``width`` cuts in a row have no strength, the start of the text aside."""
+    first, n = 1, len(table.values)
+    while first + width <= n:
+        cut = table.query(first, first + width - 1)
+        if not table.values[cut]:
+            return True
+        first = cut + 1  # every range with that cut has a boundary
+    return False
+
+
+def piece_bounds(table: StrongestCut, limit: int, overlap: int) -> list[tuple[int, int, str]]:
     """Pieces as (first word, word after the last, kind of the cut at its end)."""
-    n, start, done, out = len(strengths), 0, 0, []
-    table = StrongestCut(strengths)
+    n, start, done, out = len(table.values), 0, 0, []
     while n - start > limit:
         # at least half full, and beyond the piece before; if that holds no boundary, any place beyond it
         cut = table.query(max(start + limit // 2, done + 1), start + limit)
-        if not strengths[cut]:
+        if not table.values[cut]:
             cut = table.query(done + 1, start + limit)
-        if not strengths[cut]:
+        if not table.values[cut]:
             cut = start + limit
-        out.append((start, cut, KINDS[strengths[cut]]))
+        out.append((start, cut, KINDS[table.values[cut]]))
         done, start = cut, cut - overlap
     return [*out, (start, n, "end")]
 
@@ -79,12 +89,11 @@ def split_text(text: str, limit: int = MAX_WORDS, overlap: int = OVERLAP_WORDS)
     spans = [m.span() for m in _WORD.finditer(text)]
     if len(spans) <= limit:
         return []
-    strengths = cut_strengths(text, spans)
-    marks = np.concatenate([[0], np.flatnonzero(strengths), [len(spans)]])
-    cut = "forced" if np.diff(marks).max() > limit else "natural"
+    table = StrongestCut(cut_strengths(text, spans))
+    cut = "forced" if without_boundary(table, limit) else "natural"
     return [
         (k, a, b - a, text[spans[a][0] : spans[b - 1][1]], kind, cut)
-        for k, (a, b, kind) in enumerate(piece_bounds(strengths, limit, overlap))
+        for k, (a, b, kind) in enumerate(piece_bounds(table, limit, overlap))
     ]
 
 

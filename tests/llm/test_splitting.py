@@ -64,3 +64,23 @@ def test_rows(spark):
     assert {k: {x["cut"] for x in v} for k, v in got.items()} == {"d": {"forced"}, "e": {"natural"}, None: {"natural"}}
     assert len(got["e"]) == 4 and max(r["n_words"] for r in got[None]) <= 400
     assert S.split_oversized(df.limit(0)).count() == 0
+
+
+def test_forced_by_the_index(monkeypatch):
+    """Whether a text is forced is what the range-maximum index says of its windows."""
+    import random
+
+    import numpy as np
+
+    from strataloom.llm import splitting as S
+
+    rng = random.Random(2)
+    for _ in range(300):
+        n, width = rng.randrange(1, 60), rng.choice([2, 3, 7, 20])
+        strengths = np.array([0] + [rng.choice([0] * rng.choice([1, 3, 12]) + [1, 2, 4]) for _ in range(n - 1)], np.int8)
+        marks = np.concatenate([[0], np.flatnonzero(strengths), [n]])
+        assert S.without_boundary(S.StrongestCut(strengths), width) == bool(np.diff(marks).max() > width)
+    text = "one two. " * 400
+    assert S.split_text(text)[0][-1] == "natural"
+    monkeypatch.setattr(S.StrongestCut, "query", lambda self, first, last: 0)
+    assert S.split_text(text)[0][-1] == "forced"

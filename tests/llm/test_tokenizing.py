@@ -57,3 +57,24 @@ def test_long_runs_in_the_pattern(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = {r["doc_id"]: r["ids"] for r in T.encode(df, BYTE_BPE).collect()}
     assert [got[i] for i in range(4)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_long_and_close_words():
+    """Words without end, runs, and words of few letters, where contractions stand side by side, against the public library."""
+    import random
+    import time
+
+    import tokenizers
+
+    encoder, public = T.WordEncoder(T.MergeTable(BYTE_BPE)), tokenizers.Tokenizer.from_file(BYTE_BPE)
+    rng = random.Random(1)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(40_000))]
+    words += ["x" * 9000, "ab" * 3000 + "aaab" * 50 + "a" * 77, "the" * 5000, "-" * 3000 + "=" * 500 + "--==" * 100, "\u00e9\u65e5\u672c" * 3000]
+    words += ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 60))) for letters in ("ab", "aab", "thein", "abcdefghijklmnop\u00e9\u65e5", "0123456789", "-=*#", "tTsSeE") for _ in range(300)]
+    words = [w for w in dict.fromkeys(words) if len(public.pre_tokenizer.pre_tokenize_str(w)) == 1]
+    start = time.time()
+    encoder.learn(words[:1])
+    took = time.time() - start
+    encoder.learn(words[1:])
+    assert len(words) > 1500 and [w for w in words if encoder.kept[w].tolist() != public.encode(w, add_special_tokens=False).ids] == []
+    assert took < 20  # it took 41 s while the rows of all rounds were kept

@@ -3,12 +3,13 @@
 Groups of texts are packed by best-fit decreasing, each in its own task. Dual feasible functions give a lower
 bound for the containers of each group: a group that meets its bound is certified and stays. Groups with a gap
 exchange the texts of their containers that aren't full: these are put into new groups and packed again, and
-the outcome is kept where it takes fewer containers.
+that is repeated as long as it takes fewer containers.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,6 @@ from strataloom.session import written
 CAPACITY = 2048
 #: Texts per group: what one task packs at once.
 GROUP_ITEMS = 20_000
-ROUNDS = 3
 _ITEM = "struct<doc_id:bigint,part:int,first_token:int,tokens:int>"
 _BINS = f"round int, grp bigint, bin int, tokens bigint, n_items int, bound int, bins int, items array<{_ITEM}>"
 
@@ -95,7 +95,7 @@ def _packed(items: DataFrame, n: int, round_no: int, capacity: int, group_items:
     return keyed.groupBy("grp").applyInPandas(_packer(round_no, capacity), _BINS)
 
 
-def pack(sizes: DataFrame, capacity: int = CAPACITY, group_items: int = GROUP_ITEMS, rounds: int = ROUNDS) -> DataFrame:
+def pack(sizes: DataFrame, capacity: int = CAPACITY, group_items: int = GROUP_ITEMS, rounds: int | None = None) -> DataFrame:
     """Containers for the texts of ``sizes`` (``doc_id, n_tokens``), one row per container.
 
     Columns ``container_id, tokens, n_texts, certified, texts array<struct<doc_id, part, first_token, tokens>>``. A text
@@ -118,7 +118,7 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, group_items: int = GROUP_IT
     )
     rest = items.filter(F.col("tokens") < capacity)
     state = written(_packed(rest.drop("item"), rest.count(), 0, capacity, group_items), "packing-bins")
-    for k in range(1, rounds + 1):
+    for k in count(1) if rounds is None else range(1, rounds + 1):  # each round but the last saves a container
         loose = (F.col("bins") > F.col("bound")) & (F.col("tokens") < capacity)
         pool = state.filter(loose)
         before = pool.agg(F.count(F.lit(1)).alias("bins"), F.sum("n_items").alias("items"), F.ceil(F.sum("tokens") / capacity).alias("least")).first()

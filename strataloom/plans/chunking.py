@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from strataloom.functions.ids import uuid_of
 from strataloom.functions.text import title, word_count, words_sql
 from strataloom.operators import chunking as C
-from strataloom.plans.reports import one
+from strataloom.plans.reports import one, ref
 from strataloom.sources.files import mapped, text_of_html
 from strataloom.sources.tables import records, table
 
@@ -35,6 +35,17 @@ def chunk_documents(spark, d):
     return c.select("id", "chunk_index", "heading", "section", "embed_text", C.chunk_id(F.lit("family"), F.lit("owner"), F.col("id"), F.col("chunk_index"), F.col("section")).alias("chunk_id"))
 
 
+def legacy_sections(spark, d):
+    s = C.legacy_sections(table(spark, d, "documents"), "doc_id", "text")
+    return s.select("doc_id", "section_no", "slice_no", "heading", word_count("section").alias("n_words"), F.md5("section").alias("section_hash"))
+
+
+def chunk_ingest_ids(spark, d):
+    """Ingest ids of the sections of the store."""
+    k = records(spark, d, "document_id", "chunk_index", "ingest_id").filter(uuid_of("document_id").isNotNull())
+    return k.select("id", C.chunk_ingest_id(F.col("ingest_id"), F.col("chunk_index")).alias("chunk_ingest_id"))
+
+
 def chunk_ids(spark, d):
     k = records(spark, d, "document_id", "chunk_index", "content", "created_by").withColumn("document_id", uuid_of("document_id")).filter("document_id is not null")
     return k.select("id", C.chunk_id(F.lit("family"), F.coalesce("created_by", F.lit("")), F.col("document_id"), F.coalesce("chunk_index", F.lit(-1)), F.coalesce("content", F.lit(""))).alias("chunk_id"))
@@ -113,10 +124,45 @@ def query_variants(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        token_windows, slices_1500, heading_sections, chunk_documents, chunk_ids, ingest_ids, titles, min_length, word_counts, html_text, injection_flags, misfiled, prefix_purge, unique_needles, documents_union, query_variants,
+        token_windows, slices_1500, heading_sections, chunk_documents, legacy_sections, chunk_ingest_ids, chunk_ids, ingest_ids, titles, min_length, word_counts, html_text, injection_flags, misfiled, prefix_purge, unique_needles, documents_union, query_variants,
     )
 }
 
+_WX = r"\t\f\r \x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_WS = r"\n" + _WX
+_LINES = r"\r\n|[\r\x{0B}\x{0C}\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]"
+
+
+def _strip(e: str) -> str:
+    return f"regexp_replace({e}, '^[{_WS}]+|[{_WS}]+$', '', 'g')"
+
+
+_CHUNKS = rf"""
+with recursive t as (select id, {_strip(f"regexp_replace(content, '{_LINES}', E'\\n', 'g')")} as t from {one('content')} where content is not null),
+d as (select *, coalesce(nullif({_strip(f"regexp_extract(t, '(?m)^#{{1,6}}[{_WX}]+([^{_WS}][^\n]*)', 1)")}, ''), left({_strip("split_part(t, E'\\n', 1)")}, 120)) as title from t where t <> ''),
+p as (select id, unnest(a) as p, generate_subscripts(a, 1) as i from (select id, string_split(regexp_replace(t, '\n(#{{1,6}}[{_WX}]+[^{_WS}])', chr(1) || '\1', 'g'), chr(1)) as a from d)),
+s as (select id, row_number() over (partition by id order by i) as i, {_strip('p')} as text, nullif({_strip(f"regexp_extract(p, '^#{{1,6}}[{_WX}]+([^{_WS}][^\n]*)', 1)")}, '') as heading from p where {_strip('p')} <> ''),
+n as (select *, len({words_sql('text')}) as n from s),
+m as (select id, i, 0 as g, n as w from n where i = 1
+  union all select m.id, n.i, m.g + (m.w >= 40)::int, case when m.w >= 40 then n.n else m.w + n.n end from m join n on n.id = m.id and n.i = m.i + 1),
+e as (select id, max(g) as g, arg_max(w, i) as w from m group by id),
+k as (select m.id, m.i, m.g, case when m.g = e.g and e.w < 40 and e.g > 0 then e.g - 1 else m.g end as sec from m join e using (id)),
+x as (select k.id, k.sec, string_agg(n.text, E'\n\n' order by k.i) as text, first(n.heading order by k.i) filter (where n.heading is not null and k.g = k.sec) as heading from k join n using (id, i) group by 1, 2),
+l as (select *, case when heading is null then 400 else 800 end as lim, len({words_sql('text')}) as n from x),
+pp as (select id, sec, lim, unnest(a) as p, generate_subscripts(a, 1) as pi from (select *, regexp_split_to_array(text, '\n[{_WS}]*\n') as a from l where n > lim)),
+u0 as (select id, sec, lim, pi, 0 as si, p as text, false as long from pp where len({words_sql('p')}) <= lim
+  union all select id, sec, lim, pi, generate_subscripts(a, 1), {_strip('unnest(a)')}, true from (select *, string_split(regexp_replace(p, '([.!?])[{_WS}]+', '\1' || chr(1), 'g'), chr(1)) as a from pp where len({words_sql('p')}) > lim)),
+u as (select *, row_number() over (partition by id, sec order by pi, si) as i, len({words_sql('text')}) as n from u0 where {_strip('text')} <> ''),
+r as (select id, sec, i, 0 as g, n as w, pi, long from u where i = 1
+  union all select r.id, r.sec, u.i, r.g + (((u.long or r.long) and u.pi <> r.pi) or r.w + u.n > u.lim)::int, case when ((u.long or r.long) and u.pi <> r.pi) or r.w + u.n > u.lim then u.n else r.w + u.n end, u.pi, u.long
+  from r join u on u.id = r.id and u.sec = r.sec and u.i = r.i + 1),
+c as (select r.id, r.sec, r.g, case when bool_or(u.long) then string_agg(u.text, ' ' order by u.i) else string_agg(u.text, E'\n\n' order by u.i) end as text from r join u using (id, sec, i) group by 1, 2, 3),
+f as (select id, sec, 0 as g, text from l where n <= lim union all select id, sec, g, {_strip('text')} from c),
+o as (select f.id, row_number() over (partition by f.id order by sec, g) - 1 as chunk_index, heading, f.text as section, title from f join l using (id, sec) join d on d.id = f.id)
+select id, chunk_index, heading, section, case when starts_with(lower(regexp_replace(section, '^[{_WS}]*#*[{_WS}]*', '')), lower(title)) then section else title || E'\n\n' || section end as embed_text,
+  md5('family:owner:' || id || ':' || chunk_index || ':family:' || left(sha256(section), 12)) as chunk_id from o
+"""
+
 _W = f"w as (select doc_id, {words_sql('text')} as w from documents where len({words_sql('text')}) > 0)"
 ORACLES = {
     "token_windows": f"""with {_W}, x as (select doc_id, w, unnest(generate_series(0, greatest(ceil((len(w) - 500) / 400.0), 0)::int)) as window_no from w)
@@ -128,6 +174,13 @@ ORACLES = {
         s as (select doc_id, section_no, arg_min(head, n) filter (where head is not null) as heading, count(*) as n_lines, string_agg(line, E'\n' order by n) as section from m group by 1, 2)
         select doc_id, section_no, heading, n_lines, md5(section) as section_hash from s
         where regexp_replace(section, '[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', '', 'g') <> ''""",
+    "chunk_documents": _CHUNKS,
+    "legacy_sections": rf"""with p as (select doc_id, unnest(a) as part, generate_subscripts(a, 1) - 1 as section_no from (select doc_id, string_split(regexp_replace(regexp_replace(regexp_replace(text, '{_LINES}', E'\n', 'g'), '\n$', ''), '\n#', chr(1) || '#', 'g'), chr(1)) as a from documents where length(text) > 0)),
+        w as (select *, {words_sql('part')} as w, case when starts_with(part, '#') then {_strip("split_part(part, E'\\n', 1)")} else 'root' end as heading from p),
+        x as (select *, unnest(generate_series(0, case when len(w) > 600 then (ceil(len(w) / 600.0) - 1)::int else 0 end)) as slice_no from w),
+        y as (select doc_id, section_no, slice_no, heading, case when len(w) > 600 then array_to_string(w[slice_no * 600 + 1 : slice_no * 600 + 600], ' ') else part end as section from x)
+        select doc_id, section_no, slice_no, heading, len({words_sql('section')}) as n_words, md5(section) as section_hash from y""",
+    "chunk_ingest_ids": f"select id, ingest_id || ':c' || chunk_index as chunk_ingest_id from {one('document_id', 'chunk_index', 'ingest_id')} where {ref('document_id')} is not null",
     "chunk_ids": rf"""with k as (select *, nullif(regexp_extract(lower(document_id), '^\s*\{{?(?:urn:uuid:)?([0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}})\}}?\s*$', 1), '') as doc from {one('document_id', 'chunk_index', 'content', 'created_by')})
         select id, md5('family:' || coalesce(created_by, '') || ':' || doc || ':' || coalesce(chunk_index, -1)::varchar || ':family:' || left(sha256(coalesce(content, '')), 12)) as chunk_id from k where doc is not null""",
     "ingest_ids": f"select id, md5(coalesce(created_by, '') || '|' || coalesce(domain, '') || '|' || coalesce(environment, '') || '|' || coalesce(system, '') || '|' || sha256(content)) as ingest_id from {one('content', 'created_by', 'domain', 'environment', 'system')} where content is not null",

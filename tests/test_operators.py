@@ -63,17 +63,44 @@ def para(n, word="w"):
     return " ".join([word] * n)
 
 
-def test_chunking():
+def chunker(spark):
+    def chunks(text, **limits):
+        df = spark.createDataFrame([(1, text)], "id int, content string")
+        return [tuple(r)[1:] for r in C.chunk_documents(df, "id", "content", **limits).orderBy("chunk_index").collect()]
+
+    return chunks
+
+
+def test_chunking(spark):
+    chunk_text = chunker(spark)
     text = f"# Title here\n\n## One\n{para(45)}\n\n## Two\n{para(45)}\n\n## Tiny\nx"
-    chunks = C.chunk_text(text)
+    chunks = chunk_text(text)
     assert [c[0] for c in chunks] == list(range(len(chunks))) and all("Title here" in c[3] for c in chunks) and "Tiny" in chunks[-1][2]
-    assert C.chunk_text(f"{para(50)}\n# H\n{para(50)}")[0][1] is None
-    assert C.chunk_text("") == [] and C.chunk_text(" \n ") == []
-    assert all(len(c[2].split()) <= 260 for c in C.chunk_text("# H\n" + "\n\n".join([para(62)] * 20), most=200))
-    assert len(C.chunk_text("\n\n".join([para(83)] * 6), headless_most=200)) > 1
-    assert all(len(c[2].split()) <= 200 for c in C.chunk_text(" ".join(["Some words in a sentence here."] * 120), headless_most=150))
-    assert [len(c[2].split()) for c in C.chunk_text(para(500), headless_most=200)] == [500]
-    assert len(C.chunk_text(f"## A\n{para(300)}\n## B\n{para(300)}")) == 2
+    assert chunk_text(f"{para(50)}\n# H\n{para(50)}")[0][1] is None
+    assert chunk_text("") == [] and chunk_text(" \n ") == [] and chunk_text(None) == []
+    assert all(len(c[2].split()) <= 260 for c in chunk_text("# H\n" + "\n\n".join([para(62)] * 20), most=200))
+    assert len(chunk_text("\n\n".join([para(83)] * 6), headless_most=200)) > 1
+    assert all(len(c[2].split()) <= 200 for c in chunk_text(" ".join(["Some words in a sentence here."] * 120), headless_most=150))
+    assert [len(c[2].split()) for c in chunk_text(para(500), headless_most=200)] == [500]
+    assert len(chunk_text(f"## A\n{para(300)}\n## B\n{para(300)}")) == 2
+
+
+def test_chunking_of_long_paragraphs(spark):
+    """A paragraph that is too long is packed by sentences, apart from the paragraphs around it."""
+    chunk_text = chunker(spark)
+    long = " ".join([para(99) + " w."] * 9)
+    got = chunk_text(f"# H\n\n{para(30)}\n\n{long}\n\n{para(50)}")
+    assert [len(c[2].split()) for c in got] == [32, 800, 100, 50] and {c[1] for c in got} == {"H"}
+    got = chunk_text(f"   # not yet\n{para(50)}\n    # no heading\nmore\n\u2028## B\nend")
+    assert [c[1] for c in got] == ["not yet"] and "# no heading" in got[0][2] and got[0][2].endswith("## B\nend")
+    assert chunk_text("just a line\nand more")[0][3] == "just a line\nand more"
+    assert chunk_text(f"{para(45)}\n\n# X\nshort")[0][1] is None
+
+
+def test_legacy_sections(spark):
+    df = spark.createDataFrame([(1, f"intro\n# A\n{para(601)}\n#b\n"), (2, ""), (3, None)], "id int, t string")
+    got = [(r["section_no"], r["slice_no"], r["heading"], len(r["section"].split())) for r in C.legacy_sections(df, "id", "t").collect()]
+    assert got == [(0, 0, "root", 1), (1, 0, "# A", 600), (1, 1, "# A", 3), (2, 0, "#b", 1)]
 
 
 def test_text_and_ids(spark):

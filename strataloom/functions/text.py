@@ -61,6 +61,8 @@ def words_sql(e: str) -> str:
 
 def terms_sql(e: str, without_stop_words: bool = False) -> str:
     found = f"list_filter(regexp_extract_all(lower({e}), '[a-z0-9_]+'), lambda x: length(x) >= 2)"
-    if not without_stop_words:
-        return found
+    return content_terms_sql(found) if without_stop_words else found
+
+
+def content_terms_sql(found: str) -> str:
     return f"list_filter({found}, lambda x: x not in ({', '.join(repr(w) for w in STOP_WORDS)}))"

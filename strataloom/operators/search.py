@@ -1,24 +1,24 @@
 """Retrieval for batches of questions: vector and lexical top-k, rank fusion, modifiers, confidence, collapse.
 
-Questions come as a DataFrame, and every window is partitioned by question. Vectors are compared exactly: blocks
-of at most ``QUESTION_BLOCK`` questions are sent to all rows, each task keeps the k best of its own rows per
-question, and only these are shuffled.
+Questions come as a DataFrame, and every window is partitioned by question. Vectors are compared exactly: each block
+of questions meets each slice of the rows in a task of its own, which keeps the k best of its rows per question; only
+these go on. Nothing passes through the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import reduce
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
-from strataloom.functions.text import content_terms
+from strataloom.functions.text import content_terms, terms
+from strataloom.operators.skew import sketch_semi
 
-QUESTION_BLOCK = 4096
+#: Questions and rows that meet in one task. Rows are sent once per block of questions, questions once per slice of rows.
+QUESTION_BLOCK, SLICE_ROWS = 32_768, 65_536
 #: The fusion constant, candidates per list, terms per question.
 RRF_K, POOL, MOST_TERMS = 60, 50, 16
 #: Words below which a text is short, confidence thresholds.
@@ -29,30 +29,30 @@ LOW_SCORE, HIGH_SCORE, SEPARATION = 0.012, 0.020, 0.004
 DECAY_FLOOR, DECAY_DOMAINS, DURABLE = 0.25, ("K8s", "Network", "Security"), "durable"
 
 
-def _block_top(question_ids: list, kind: pa.DataType, vectors: np.ndarray, k: int, same: bool):
-    unit = vectors / np.sqrt((vectors * vectors).sum(1))[:, None]
+def _unit(vectors: pa.ChunkedArray, n: int) -> np.ndarray:
+    v = vectors.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+    return v / np.sqrt((v * v).sum(1))[:, None]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            v = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            v /= np.sqrt((v * v).sum(1))[:, None]
-            ids = np.array(batch.column(0).to_pylist(), dtype=object)
-            order = np.argsort(ids, kind="stable")
-            v, ids = v[order], ids[order]
+
+def _block_top(k: int, same: bool):
+    def run(key: tuple[pa.Scalar, ...], questions: pa.Table, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("id")  # ties to the smaller id
+        asked, ids = questions.column("qid"), rows.column("id")
+        found = []
+        if questions.num_rows and rows.num_rows:
+            unit, v = _unit(questions.column("asked"), len(asked)), _unit(rows.column("vector"), len(ids))
+            q_names, names = np.array(asked.to_pylist(), dtype=object), np.array(ids.to_pylist(), dtype=object)
+            keep = min(k, len(ids))
             for at in range(0, len(unit), 256):
                 sim = unit[at : at + 256] @ v.T
                 if same:
-                    sim[np.array(question_ids[at : at + 256], dtype=object)[:, None] == ids[None, :]] = -np.inf
-                keep = min(k, len(ids))
-                best = np.argsort(-np.round(sim, 12), axis=1, kind="stable")[:, :keep]  # ties to the smaller id
-                rows = np.repeat(np.arange(len(sim)), keep)
-                value = sim[rows, best.ravel()]
+                    sim[q_names[at : at + 256, None] == names[None, :]] = -np.inf
+                best = np.argsort(-np.round(sim, 12), axis=1, kind="stable")[:, :keep]
+                value = np.take_along_axis(sim, best, axis=1).ravel()
                 good = np.isfinite(value)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([question_ids[at + r] for r in rows[good]], kind), pa.array(ids[best.ravel()[good]].tolist(), batch.column(0).type), pa.array(value[good])], names=["qid", "id", "similarity"]
-                )
+                found.append((at + np.repeat(np.arange(len(sim)), keep)[good], best.ravel()[good], value[good]))
+        q, r, value = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        return pa.table({"qid": asked.take(pa.array(q)), "id": ids.take(pa.array(r)), "similarity": pa.array(value)})
 
     return run
 
@@ -70,37 +70,27 @@ def vector_top(questions: DataFrame, rows: DataFrame, k: int = POOL, exclude_sel
     usable (see functions.vectors.usable). ``exclude_self`` leaves out a row whose id is the question's.
     """
     kinds = dict(questions.dtypes)["qid"], dict(rows.dtypes)["id"]
-    kind = to_arrow_type(questions.schema["qid"].dataType)
-    slim = rows.select("id", "embedding")
-    parts, block = [], []
-
-    def flush():
-        if block:
-            ids, vectors = [b[0] for b in block], np.array([b[1] for b in block], dtype=np.float64)
-            parts.append(slim.mapInArrow(_block_top(ids, kind, vectors, k, exclude_self), f"qid {kinds[0]}, id {kinds[1]}, similarity double"))
-            block.clear()
-
-    for q in questions.select("qid", "embedding").toLocalIterator():  # a block of questions at a time
-        block.append((q["qid"], q["embedding"]))
-        if len(block) == QUESTION_BLOCK:
-            flush()
-    flush()
-    if not parts:
-        return questions.sparkSession.createDataFrame([], f"qid {kinds[0]}, id {kinds[1]}, similarity double, vector_rank int")
+    blocks = max(1, -(-questions.count() // QUESTION_BLOCK))
+    slices = max(-(-rows.count() // SLICE_ROWS), -(-questions.sparkSession.sparkContext.defaultParallelism // blocks))
+    of = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = questions.select(F.col("qid").alias("qid"), F.col("embedding").alias("asked"), of("qid", blocks).alias("block")).withColumn("slice", every(slices))
+    held = rows.select(F.col("id").alias("id"), F.col("embedding").alias("vector"), of("id", slices).alias("slice")).withColumn("block", every(blocks))
+    found = asked.groupBy("block", "slice").cogroup(held.groupBy("block", "slice")).applyInArrow(_block_top(k, exclude_self), f"qid {kinds[0]}, id {kinds[1]}, similarity double")
     best = Window.partitionBy("qid").orderBy(F.desc(F.round("similarity", 12)), "id")
-    found = reduce(DataFrame.unionByName, parts)
     return _first(found, best, k, "vector_rank")
 
 
-def postings(rows: DataFrame, analyze: Callable[[str], Column] = content_terms) -> DataFrame:
-    """Inverted index ``term, id, tf`` of ``id, content``: stop words left out."""
-    return rows.select("id", F.explode(analyze("content")).alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
+def postings(rows: DataFrame, analyze: Callable[[str], Column] = content_terms, asked: DataFrame | None = None) -> DataFrame:
+    """Inverted index ``term, id, tf`` of ``id, content``: stop words left out, and most terms that aren't among ``asked``."""
+    every = rows.select("id", F.explode(analyze("content")).alias("term"))
+    return (every if asked is None else sketch_semi(every, asked, "term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def question_terms(questions: DataFrame, text: str = "question", analyze: Callable[[str], Column] = content_terms) -> DataFrame:
-    """``qid, term``: the distinct ones among the first 16 terms of each question."""
-    first = F.array_distinct(F.slice(analyze(text), 1, MOST_TERMS))
-    return questions.select("qid", F.explode(first).alias("term"))
+    """``qid, term``: what the analysis leaves of the first 16 terms of each question, stop words and repeats counted among these."""
+    first = F.array_join(F.slice(terms(text), 1, MOST_TERMS), " ")
+    return questions.select("qid", F.explode(F.array_distinct(analyze(first))).alias("term"))
 
 
 def lexical_top(questions: DataFrame, rows: DataFrame, k: int = POOL, exclude_self: bool = False, analyze: Callable[[str], Column] = content_terms) -> DataFrame:
@@ -111,7 +101,8 @@ def lexical_top(questions: DataFrame, rows: DataFrame, k: int = POOL, exclude_se
     meets only rows that share one with it. ``analyze`` gives the terms of a text (functions.analyzer.stems folds
     English inflections).
     """
-    hits = postings(rows, analyze).join(question_terms(questions, analyze=analyze), "term")
+    asked = question_terms(questions, analyze=analyze)
+    hits = postings(rows, analyze, asked).join(asked, "term")
     if exclude_self:
         hits = hits.filter(F.col("qid") != F.col("id"))
     score = hits.groupBy("qid", "id").agg(F.round(F.sum(F.col("tf") / (F.col("tf") + 1.2)), 9).alias("lexical_score"))

@@ -12,7 +12,7 @@ from strataloom.operators import writes as W
 from strataloom.operators.skew import BLOCK_ROWS, pairs_join
 from strataloom.plans.lifecycle import _EV, _events
 from strataloom.plans.reports import one, ref
-from strataloom.plans.search import _BOOST, _DECAY, _corpus, _lexical, _questions, _ranked, _sql, _vector, asked_by_100, oracles_by_100
+from strataloom.plans.search import _BOOST, _DECAY, _corpus, _lexical, _questions, _ranked, _sql, _vector
 from strataloom.session import written
 from strataloom.sources.tables import records, table
 
@@ -156,8 +156,6 @@ QUERIES = {
     )
 }
 
-QUERIES |= asked_by_100(QUERIES)
-
 _SIM = _sql("select qid, id, round(similarity, 6) as similarity from v where similarity >= 0.5", k=3, scope="kk as (select * from k where status = 'current'),")
 ORACLES = {
     "facet_filter": f"select id, domain, environment, created_by from {one('status', 'domain', 'environment', 'created_by')} where status = 'current' and (domain = 'Network' and environment = 'Lab' or created_by = 'owner_0001')",
@@ -166,7 +164,7 @@ ORACLES = {
         select coalesce(a.qid, b.qid) as qid, coalesce(a.place, b.place) as place, a.id as plain_id, b.id as modified_id, a.id is not distinct from b.id as same from a full join b on a.qid = b.qid and a.place = b.place""",
     "similar_documents": _SIM,
     "plan_candidates": f"""with s as ({_SIM}), k0 as {one('status', 'system', 'component_key')}
-        select q.id as qid, x.id from k0 q join k0 x on q.system = x.system and q.component_key = x.component_key and q.id <> x.id where x.status = 'current' and (suffix(q.id, '00') or suffix(q.id, '80')) union select qid, id from s""",
+        select q.id as qid, x.id from k0 q join k0 x on q.system = x.system and q.component_key = x.component_key and q.id <> x.id where x.status = 'current' union select qid, id from s""",
     "document_fusion": _sql(""", g as (select qid, coalesce(k.document_id, f.id) as doc, round(sum(rrf_score), 9) as score, count(*) as n_sections from f join k using (id) group by 1, 2)
         select *, row_number() over (partition by qid order by score desc, doc) - 1 as place from g qualify place < 5"""),
     "context_pack": _sql(" select qid, md5(string_agg(left(coalesce(k.content, ''), 400), E'\\n---\\n' order by place)) as pack_hash, count(*) as n from r join k on k.id = r.id where place < 4 group by qid"),
@@ -186,7 +184,3 @@ ORACLES = {
         where component_key is not null and valid_from is not null) where prior_id is not null""",
     "replayed_inserts": "select id, any_value(owner) as owner, count(*) as n from query_log group by id having count(*) > 1",
 }
-ORACLES |= oracles_by_100(ORACLES, QUERIES)
-_LISTED = """select q.id as qid, x.id from k0 q join k0 x on q.system = x.system and q.component_key = x.component_key and q.id <> x.id where x.status = 'current'"""
-ORACLES["plan_candidates_by_100"] = f"""with s as ({oracles_by_100({'similar_documents': _SIM}, QUERIES)['similar_documents_by_100']}), k0 as {one('status', 'system', 'component_key')}
-    {_LISTED} union select qid, id from s"""

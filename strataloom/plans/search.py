@@ -1,19 +1,15 @@
 """Registered retrieval queries, with their oracles.
 
-The questions are the records whose id, read as a number, is divisible by 100: queries named ``..._by_100``. Those without
-that ending ask by the records whose id is divisible by 256, as their SQL has it.
+The questions are all records whose id, read as a number, is divisible by 100.
 """
 
 from __future__ import annotations
 
-from functools import partial
-from inspect import signature
-
 from pyspark.sql import functions as F
 
 from strataloom.functions.analyzer import stems
 from strataloom.functions.ids import uuid_of
-from strataloom.functions.text import snippet, terms_sql, title, word_count, words_sql
+from strataloom.functions.text import content_terms_sql, snippet, terms_sql, title, word_count, words_sql
 from strataloom.functions.vectors import cosine, usable, usable_sql
 from strataloom.operators import search as S
 from strataloom.operators.skew import BLOCK_ROWS, pairs_join
@@ -26,12 +22,9 @@ _COLUMNS = ("content", "embedding", "status", "domain", "environment", "system",
 
 
 def _corpus(spark, d, asks=None):
+    """One row per record, written once: each use reads the columns it needs. ``asks`` tells which records are questions."""
     k = records(spark, d, *_COLUMNS).withColumn("document_id", uuid_of("document_id"))
-    return k.withColumns({"word_count": word_count("content"), "asks": (asks or by_256)(F.col("id"))})
-
-
-def by_256(id):
-    return id.endswith("00")
+    return written(k.withColumns({"word_count": word_count("content"), "asks": (asks or by_100)(F.col("id"))}), "corpus")
 
 
 def by_100(id):
@@ -173,22 +166,15 @@ QUERIES = {
     )
 }
 
-def asked_by_100(queries):
-    """The same queries asked by the records whose id is divisible by 100."""
-    return {f"{name}_by_100": partial(f, asks=by_100) for name, f in queries.items() if "asks" in signature(f).parameters}
-
-
-QUERIES |= asked_by_100(QUERIES)
-
 _COS = "list_cosine_similarity({0}::double[], {1}::double[])"
 _BASE = f"""
 k as materialized (select *, {ref('document_id_raw')} as document_id, coalesce(len({words_sql('content')}), 0) as word_count, {usable_sql('embedding', 64)} as ok from
   (select lower(id) as id, {', '.join(f'first({c}) as {c}{"_raw" if c == "document_id" else ""}' for c in _COLUMNS)} from knowledge group by lower(id))),
-q as (select id as qid, content as question, embedding, created_by, ok from k where suffix(id, '00')),
+q as (select id as qid, content as question, embedding, created_by, ok from k where {{asks}}),
 {{scope}}
 v as (select qid, id, similarity, row_number() over (partition by qid order by round(similarity, 12) desc, id) - 1 as vector_rank
   from (select q.qid, k.id, {_COS.format('q.embedding', 'k.embedding')} as similarity from q join kk as k on q.qid <> k.id where q.ok and k.ok) qualify vector_rank < {{k}}),
-qt as (select distinct qid, term from (select qid, unnest(list_slice({terms_sql('question', True)}, 1, 16)) as term from q)),
+qt as (select distinct qid, term from (select qid, unnest({content_terms_sql(f"list_slice({terms_sql('question')}, 1, 16)")}) as term from q)),
 p as (select id, term, count(*) as tf from (select id, unnest({terms_sql('content', True)}) as term from kk) group by 1, 2),
 l as (select qid, id, lexical_score, row_number() over (partition by qid order by lexical_score desc, id) - 1 as lexical_rank
   from (select qid, id, round(sum(tf / (tf + 1.2)), 9) as lexical_score from p join qt using (term) where qid <> id group by 1, 2) qualify lexical_rank < {{k}}),
@@ -206,7 +192,9 @@ r as (select *, case when document_id is null and word_count < 30 then 'low'
     when similarity is null then case when word_count < 30 or final_score < 0.012 then 'low' when final_score >= 0.020 and coalesce(final_score - neighbour, final_score) >= 0.004 and word_count >= 100 then 'high' else 'medium' end
     when similarity >= 0.62 and (word_count >= 100 or agree) then 'high' when similarity >= 0.45 then 'medium' else 'low' end as confidence from r0)
 """
-_PLAIN = {"k": 50, "boost": "1.0::double", "decay": "1.0::double", "floor": "true", "scope": "kk as (select * from k),"}
+#: The 32 digits of a UUID as a number.
+_BY_100 = "('0x' || replace(id, '-', ''))::uhugeint % 100 = 0"
+_PLAIN = {"asks": _BY_100, "k": 50, "boost": "1.0::double", "decay": "1.0::double", "floor": "true", "scope": "kk as (select * from k),"}
 _BOOST = "case when status = 'current' and component then 1.5::double else 1.0::double end"
 _DECAY = f"""case when component or coalesce(list_contains(tags, 'durable'), false) or created_at is null or not coalesce(domain in ('K8s', 'Network', 'Security'), false) then 1.0::double
   else greatest(0.25::double, pow(0.5::double, greatest((epoch_us(timestamptz '{NOW}+00') // 1000000 - epoch_us(created_at) // 1000000) / 86400.0::double, 0) / 90.0::double)) end"""
@@ -243,22 +231,13 @@ ORACLES = {
         select id, case when len(w) > 40 then array_to_string(w[1:40], ' ') || '…' else array_to_string(w, ' ') end as snippet,
           case when heading is null and doc is null then split_part(regexp_replace(content, '^#+\\s*', ''), E'\\n', 1) else heading end as heading,
           coalesce(nullif(concat_ws('/', domain, system), ''), 'knowledge') as provenance, doc is not null as chunked from k""",
-    "fetch_by_ids": f"""with k as (select *, {ref('document_id')} as doc from {one('document_id', 'chunk_index', 'created_by')}), q as (select id as qid, created_by from k where suffix(id, '00'))
+    "fetch_by_ids": f"""with k as (select *, {ref('document_id')} as doc from {one('document_id', 'chunk_index', 'created_by')}), q as (select id as qid, created_by from k where {_BY_100})
         select distinct qid, k.id, k.doc as document_id, k.chunk_index from q join k on (k.id = q.qid or k.doc = q.qid) and k.created_by = q.created_by""",
-    "same_component_pairs": f"""with k as (select * from {one('component_key', 'embedding', 'created_at')} where component_key is not null and {usable_sql('embedding', 64)}),
-        p as (select component_key, id, embedding, lag(id) over w as prior_id, lag(embedding) over w as prior from k window w as (partition by component_key order by created_at nulls first, id))
-        select component_key, id, prior_id, round({_COS.format('embedding', 'prior')}, 6) as similarity from p where prior_id is not null""",
+    "same_component_pairs": f"""with k as (select *, coalesce(epoch_us(created_at), -9223372036854775808) as at from {one('component_key', 'embedding', 'created_at')} where component_key is not null and {usable_sql('embedding', 64)})
+        select a.component_key, a.id, b.id as prior_id, round({_COS.format('a.embedding', 'b.embedding')}, 6) as similarity from k a join k b on a.component_key = b.component_key and (b.at, b.id) < (a.at, a.id)""",
 }
 _FIRST = _sql("select qid, id, place, confidence, 'current' as scope from r", scope="kk as (select * from k where coalesce(lower(trim(status)) = 'current', false)),")
 _EVERY = _sql("select qid, id, place, confidence, 'all' as scope from r")
 ORACLES["hybrid_dispatch"] = f"""with first_ as ({_FIRST}), every_ as ({_EVERY}), trusted as (select qid from first_ where place = 0 and confidence <> 'low')
 select * from first_ where place < 5 and qid in (select qid from trusted) union all select * from every_ where place < 5 and qid not in (select qid from trusted)"""
 
-
-def oracles_by_100(oracles, queries):
-    """SQL of the queries that asked_by_100 adds."""
-    number = lambda c: f"('0x' || replace({c}, '-', ''))::uhugeint % 100 = 0"
-    return {f"{name}_by_100": sql.replace("suffix(id, '00')", number("id")) for name, sql in oracles.items() if f"{name}_by_100" in queries}
-
-
-ORACLES |= oracles_by_100(ORACLES, QUERIES)

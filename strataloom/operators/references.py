@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strataloom.functions.ids import row_key, utc_month, uuid_of
 from strataloom.operators.skew import hot_key_join
+from strataloom.session import written
 
 #: table, field, the column with the referring row's own time
 FIELDS = (("knowledge", "supersedes_id", "created_at"), ("knowledge", "document_id", "created_at"), ("retirement_requests", "target_id", "requested_at"))
@@ -35,7 +36,7 @@ def broken_references(knowledge: DataFrame, requests: DataFrame) -> DataFrame:
     references. One target may hold a third of all references: distinct keys are formed before the shuffle,
     and the joins back salt hot keys. Adds ``kind`` and ``period`` (month of the own time, null where that is null).
     """
-    refs = references({"knowledge": knowledge, "retirement_requests": requests})
+    refs = written(references({"knowledge": knowledge, "retirement_requests": requests}), "references")  # read four times
     record = knowledge.select(uuid_of("id").alias("ref"), "created_at").filter(F.col("ref").isNotNull())
     record = record.groupBy("ref").agg(F.min("created_at").alias("came_at"))
     removed = (

@@ -103,4 +103,20 @@ c as (select doc_id, i, case when i - lag(i) over (partition by doc_id order by
 m as (select doc_id, i, sum(new) over (partition by doc_id order by i) as span from c)
 select doc_id, min(i)::int as span_start, (max(i) + 200 - min(i))::int as span_len from m group by doc_id, span
 """
-ORACLES = {"p1_found": _P1, "p2_found": _P2, "p3_found": _P3, "p8_found": _P8}
+_P8_SHARES = f"""
+with s as ({_P8}), t as (select doc_id, sum(span_len) as shared_chars, count(*) as n_spans from s group by 1),
+d as (select doc_id, max(coalesce(length(text), 0)) as n_chars from documents group by 1)
+select doc_id, n_chars, coalesce(shared_chars, 0) as shared_chars, coalesce(n_spans, 0) as n_spans, case when n_chars > 0 then coalesce(shared_chars, 0) / n_chars::double else 0.0::double end as share from d left join t using (doc_id)
+"""
+_P2_GROUPS = r"""
+with recursive w as (select lower(id) as id, regexp_extract_all(lower(any_value(content)), '[\p{L}\p{N}]+') as w from knowledge where content is not null group by 1),
+g as (select distinct id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as gram from w where len(w) >= 3),
+k as (select id, count(*) as n, string_agg(gram, '|' order by gram) as grams from g group by 1),
+c as (select id, n, min(id) over (partition by grams) as class_id from k),
+o as (select a.id as x, b.id as y, count(*) as o from g a join g b using (gram) where a.id <> b.id and a.id in (select class_id from c) and b.id in (select class_id from c) group by 1, 2),
+l as (select x, y from o join c a on a.id = x join c b on b.id = y where 8 * o >= 3 * (a.n + b.n)),
+r as (select distinct class_id as x, class_id as y from c union select r.x, l.y from r join l on l.x = r.y),
+m as (select x, min(y) as group_id from r group by 1), d as (select x, count(*) as n_links from l group by 1)
+select id, class_id, group_id, coalesce(n_links, 0) as n_links from c join m on m.x = class_id left join d on d.x = class_id
+"""
+ORACLES = {"p1_found": _P1, "p2_found": _P2, "p2_groups": _P2_GROUPS, "p3_found": _P3, "p8_found": _P8, "p8_shares": _P8_SHARES}

@@ -50,24 +50,25 @@ def hourly_rate(log: DataFrame, owner: str = "owner", at: str = "created_at", sl
 
 
 def first_retirements(events: DataFrame) -> DataFrame:
-    """Status per retired record from the event log: the first event to arrive holds, later ones change nothing.
+    """Status per retired record from the event log: the earliest event of the first batch that has one holds, later ones change nothing.
 
-    One row per record, when its first event comes: ``superseded_id, status, event_id``.
+    One row per record, when its first event comes: ``superseded_id, status, event_id``. Events of a record that retires itself count for
+    nothing, as in lifecycle.first_events. A record's mark is kept for good, as it may be retired again at any time.
     """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         best = None
-        for rows in batches:
-            rows = rows.sort_values(["occurred_at", "id"], na_position="last")
-            if len(rows) and best is None:
-                best = rows.iloc[0]
-        if state.exists or best is None:
+        for rows in batches:  # a group may come in several
+            rows = rows if best is None else pd.concat([best, rows])
+            best = rows.sort_values(["occurred_at", "id"], na_position="last").head(1)
+        if state.exists or best is None or best.empty:
             return
+        best = best.iloc[0]
         state.update((best["id"],))
         status = "historical" if pd.isna(best["superseding_id"]) else "superseded"
         yield pd.DataFrame({"superseded_id": [key[0]], "status": [status], "event_id": [best["id"]]})
 
-    slim = events.filter("superseded_id is not null").select("superseded_id", "superseding_id", "occurred_at", "id")
+    slim = events.filter(F.col("superseded_id").isNotNull() & ~F.col("superseded_id").eqNullSafe(F.col("superseding_id"))).select("superseded_id", "superseding_id", "occurred_at", "id")
     return slim.groupBy("superseded_id").applyInPandasWithState(update, "superseded_id string, status string, event_id string", "event_id string", "append", GroupStateTimeout.NoTimeout)
 
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataloom.operators import sessions as S
+from strataloom.operators.lifecycle import first_events
 from strataloom.streaming import events as E
 
 FOLDER = "/root/testdata/sf0.001"
@@ -51,8 +52,8 @@ def test_hourly_rate(spark, tmp_path):
 def test_first_retirements(spark, tmp_path):
     rows, out = run(spark, tmp_path, "s5", E.first_retirements, table="supersession_events", mode="append")
     got = {r["superseded_id"]: r["status"] for r in out.collect()}
-    assert set(got) == {r[0] for r in rows.select("superseded_id").filter("superseded_id is not null").collect()}
-    assert set(got.values()) <= {"superseded", "historical"} and out.count() == len(got)
+    first = {r["superseded_id"]: ("historical" if r["superseding_id"] is None else "superseded", r["event_id"]) for r in first_events(rows).collect()}
+    assert out.count() == len(got) and {r["superseded_id"]: (r["status"], r["event_id"]) for r in out.collect()} == first
 
 
 def test_append_new_is_idempotent(spark, tmp_path):

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataloom.functions.vectors import usable
+from strataloom.operators.skew import hot_key_join, sketch_semi
 
 
 def first_events(events: DataFrame) -> DataFrame:
@@ -50,6 +51,41 @@ def status_drift(rows: DataFrame, events: DataFrame) -> DataFrame:
     return mismatch.withColumn("drift", F.lit("event_present_status_mismatch")).unionByName(silent.withColumn("drift", F.lit("superseded_without_event")))
 
 
+#: Fields that scoped() may filter by, and the status it takes where none is asked for.
+FACETS, DEFAULT_STATUS = ("domain", "environment", "system"), "current"
+
+
+def scoped(rows: DataFrame, filters: dict | None = None, owner: str | None = None) -> DataFrame:
+    """Rows of a status, of an owner (``created_by``) and of equal facets.
+
+    The status is ``current`` unless ``filters`` names one, any if it names None; facets without a value and names that
+    aren't facets filter nothing. Each predicate is a plain equality that reaches the scan.
+    """
+    asked = {"status": DEFAULT_STATUS} | (filters or {})
+    wanted = {"created_by": owner or None, "status": asked["status"], **{c: asked.get(c) or None for c in FACETS}}
+    for column, value in wanted.items():
+        rows = rows if value is None else rows.filter(F.col(column) == value)
+    return rows
+
+
+def newest(rows: DataFrame, limit: int = 10) -> DataFrame:
+    """The ``limit`` newest rows by ``valid_from`` (unknown ones first, ties by id): each task keeps its own first."""
+    return rows.orderBy(F.desc_nulls_first("valid_from"), "id").limit(limit)
+
+
+def left_over(shown: DataFrame, named: DataFrame) -> DataFrame:
+    """``qid, n_shown, n_missing, least_missing``: what was shown to each asker (pairs ``qid, id``) and isn't among what it
+    named (``qid, id``). ``n_missing`` is 0 where the named ones are a superset."""
+    met = shown.select("qid", "id").distinct().join(named.select("qid", "id").distinct().withColumn("_hit", F.lit(True)), ["qid", "id"], "left")
+    missing = F.col("_hit").isNull()
+    return met.groupBy("qid").agg(F.count(F.lit(1)).alias("n_shown"), F.count_if(missing).alias("n_missing"), F.min(F.when(missing, F.col("id"))).alias("least_missing"))
+
+
+def other_side(lo: Column, hi: Column, one: Column) -> Column:
+    """The member of a pair that isn't ``one``; null where ``one`` is none of the two."""
+    return F.when(one == lo, hi).when(one == hi, lo)
+
+
 def as_of(rows: DataFrame, at: Column) -> DataFrame:
     """Rows valid at ``at``: from ``valid_from`` on, until before ``valid_until`` (null: still)."""
     return rows.filter((F.col("valid_from") <= at) & (F.col("valid_until").isNull() | (F.col("valid_until") > at)))
@@ -71,6 +107,41 @@ def as_of_each(rows: DataFrame, times: DataFrame, bucket_seconds: int = 30 * 864
     return asked.join(spell, "bucket").filter((F.col("a") <= F.col("at_s")) & (F.col("b").isNull() | (F.col("b") > F.col("at_s")))).select("at_s", "id")
 
 
+#: Levels of halves of time that counts_at tells apart, from one second up: 2^40 seconds in all.
+LEVELS = 40
+
+
+def counts_at(rows: DataFrame, times: DataFrame) -> DataFrame:
+    """``at_s, n_valid, least_id``: how many rows are valid at each of many times (``at_s``, in seconds) and the least id
+    of them; times at which none is are left out.
+
+    A period is the sum of at most 80 aligned stretches of 2^k seconds. Rows are counted per stretch, so what is joined
+    is one row a stretch, and a time sums up the 40 stretches that it lies in: no time meets a row.
+    """
+    name = lambda k, n: F.call_function("shiftleft", k.cast("bigint"), F.lit(LEVELS + 1)) + n
+    levels = F.sequence(F.lit(0), F.lit(LEVELS))
+    half = lambda n, k: F.call_function("shiftright", n, k)
+    odd = lambda n: n.bitwiseAND(F.lit(1).cast("bigint")) == 1
+
+    times = times.select("at_s").filter("at_s is not null").distinct()
+    span = times.agg(F.min("at_s").alias("t0"), F.max("at_s").alias("t1"))  # one row
+    asked = times.crossJoin(F.broadcast(span)).select("at_s", F.explode(F.transform(levels, lambda k: name(k, half(F.col("at_s") - F.col("t0"), k)))).alias("_part"))
+
+    spell = rows.filter(F.col("valid_from").isNotNull()).select("id", F.unix_seconds("valid_from").alias("a"), F.unix_seconds("valid_until").alias("b"))
+    spell = spell.crossJoin(F.broadcast(span)).filter("t0 is not null")
+    end = F.col("t1") + 1
+    spell = spell.select("id", (F.greatest("a", "t0") - F.col("t0")).alias("a"), (F.least(F.coalesce("b", end), end) - F.col("t0")).alias("b")).filter("a < b")
+
+    def parts(k: Column) -> Column:
+        low, high = half(F.col("a") + F.call_function("shiftleft", F.lit(1).cast("bigint"), k) - 1, k), half(F.col("b"), k)
+        return F.array(F.when((low < high) & odd(low), name(k, low)), F.when((low < high) & odd(high), name(k, high - 1)))
+
+    every = spell.select("id", F.explode(F.array_compact(F.flatten(F.transform(levels, parts)))).alias("_part"))
+    held = sketch_semi(every, asked, "_part").groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
+    met = hot_key_join(asked, held, "_part", F.col("at_s"))
+    return met.groupBy("at_s").agg(F.sum("n").alias("n_valid"), F.min("least").alias("least_id"))
+
+
 def lifespans(rows: DataFrame, keys: list[str]) -> DataFrame:
     """``id, starts, ends`` per chain: each ends when the next of the same keys begins."""
     w = Window.partitionBy(*keys).orderBy("valid_from", "id")

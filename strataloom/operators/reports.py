@@ -97,6 +97,16 @@ def fan_out(sections: DataFrame, parent: str) -> DataFrame:
     return n.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n_parents"), F.avg("k").alias("mean_sections"), F.max("k").alias("most_sections"))
 
 
+def fan_out_totals(documents: DataFrame, sections: DataFrame, parent: str) -> DataFrame:
+    """One row: documents, their pieces, and mean, median, greatest number and share of more than one piece a document.
+
+    ``documents`` has ``id``; a document without sections is one piece. The median is exact: counts of pieces are few different numbers.
+    """
+    k = sections.filter(F.col(parent).isNotNull()).groupBy(F.col(parent).alias("id")).agg(F.count(F.lit(1)).alias("k"))
+    n = documents.select("id").join(k, "id", "left").select(F.coalesce("k", F.lit(1)).alias("k"))
+    return n.agg(F.count(F.lit(1)).alias("n_documents"), F.sum("k").alias("n_pieces"), F.avg("k").alias("mean_pieces"), F.median("k").alias("median_pieces"), F.max("k").alias("most_pieces"), F.avg((F.col("k") > 1).cast("int")).alias("multi_share"))
+
+
 def latest(rows: DataFrame, by: str, order: list[str], keep: list[str], n: int = 1) -> DataFrame:
     """The ``n`` latest rows per ``by`` (the group limit is applied before the shuffle as well)."""
     w = Window.partitionBy(by).orderBy(*[F.desc(c) for c in order])

@@ -6,11 +6,15 @@ between buckets is one row per owner and day (see history for the same idea).
 
 from __future__ import annotations
 
+import json
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataloom.operators.skew import hot_key_join
+
 GAP_SECONDS = 30 * 60
 
 
@@ -25,8 +29,15 @@ class Rule:
     kind: str = "rows"
 
     def __post_init__(self):
-        if self.kind not in ("items", "rows") or self.threshold < 1 or not self.pattern:
+        whole = isinstance(self.threshold, int) and not isinstance(self.threshold, bool)
+        if not (isinstance(self.name, str) and self.name and isinstance(self.pattern, str) and self.pattern) or self.kind not in ("items", "rows") or not whole or self.threshold < 1:
             raise ValueError(f"not a rule: {self}")
+        try:
+            groups = re.compile(self.pattern).groups
+        except re.error as e:
+            raise ValueError(f"not a pattern: {self}") from e
+        if self.kind == "items" and not groups:
+            raise ValueError(f"items need a group: {self}")
 
 
 def sessionize(log: DataFrame, owner: str = "owner", at: str = "created_at", gap: int = GAP_SECONDS) -> DataFrame:
@@ -54,25 +65,58 @@ def session_summary(sessions: DataFrame, owner: str = "owner", at: str = "create
     return sessions.groupBy(owner, "session_start_s").agg(F.count(F.lit(1)).alias("n"), F.max(F.unix_seconds(at)).alias("session_end_s"), F.count_if(F.coalesce("flagged", F.lit(False))).alias("n_flagged"))
 
 
-def apply_rules(sessions: DataFrame, rules: list[Rule], owner: str = "owner", text: str = "query_text") -> DataFrame:
-    """``owner, session_start_s, rule, n, items, event_key``: sessions that reach a rule's threshold.
+#: Fixed value: items that an event shows.
+SHOWN_ITEMS = 12
 
-    ``items`` are the distinct captures, short ones first, then by text, the first twelve; the event key is a hash of
-    owner, rule and session start, so running again gives the same event.
-    """
+
+def _matches(sessions: DataFrame, rules: list[Rule], owner: str, text: str) -> DataFrame:
+    """Rows of ``sessions`` that a rule finds something in, a row per rule: with ``found`` and the session's ``event_key``."""
     parts = []
     for r in rules:
-        found = F.regexp_extract_all(F.lower(text), F.lit(r.pattern), F.lit(1)) if r.kind == "items" else F.when(F.lower(text).rlike(r.pattern), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+        pattern = f"(?i){r.pattern}"
+        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if r.kind == "items" else F.when(F.col(text).rlike(pattern), F.array(F.lit("")))
         parts.append(F.struct(F.lit(r.name).alias("rule"), F.coalesce(found, F.array().cast("array<string>")).alias("found"), F.lit(r.threshold).alias("threshold"), F.lit(r.kind == "items").alias("distinct")))
-    one = sessions.select(owner, "session_start_s", F.explode(F.array(*parts)).alias("r")).filter(F.size("r.found") > 0)
-    one = one.select(owner, "session_start_s", "r.rule", "r.threshold", "r.distinct", F.explode("r.found").alias("item"))
-    counted = one.groupBy(owner, "session_start_s", "rule", "threshold", "distinct", "item").agg(F.count(F.lit(1)).alias("c"))
-    per = counted.groupBy(owner, "session_start_s", "rule", "threshold").agg(
-        F.when(F.first("distinct"), F.count(F.lit(1))).otherwise(F.sum("c")).alias("n"), F.array_sort(F.collect_list(F.struct(F.length("item").alias("l"), "item"))).alias("items")
-    )
-    hits = per.filter(F.col("n") >= F.col("threshold"))
-    key = F.sha2(F.concat_ws("|", F.col(owner), F.col("rule"), F.col("session_start_s").cast("string")), 256)
-    return hits.select(owner, "session_start_s", "rule", "n", F.array_join(F.transform(F.slice("items", 1, 12), lambda x: x["item"]), ", ").alias("items"), key.alias("event_key"))
+    one = sessions.withColumn("_r", F.explode(F.array(*parts))).filter(F.size("_r.found") > 0)
+    key = F.sha2(F.concat_ws("|", F.col(owner), F.col("_r.rule"), F.col("session_start_s").cast("string")), 256)
+    return one.withColumn("event_key", key)
+
+
+def apply_rules(sessions: DataFrame, rules: list[Rule], owner: str = "owner", text: str = "query_text") -> DataFrame:
+    """``owner, session_start_s, rule, n, items, event_key``: sessions that reach a rule's threshold, without regard to case.
+
+    ``items`` are the distinct captures, short ones first, then by text, the first twelve, with an ellipsis where there
+    are more; the event key is a hash of owner, rule and session start, so running again gives the same event.
+    """
+    one = _matches(sessions, rules, owner, text).select(owner, "session_start_s", "event_key", "_r.rule", "_r.threshold", "_r.distinct", F.explode("_r.found").alias("item"))
+    event = [owner, "session_start_s", "event_key", "rule", "threshold", "distinct"]
+    counted = one.groupBy(*event, "item").agg(F.count(F.lit(1)).alias("c"))
+    first = Window.partitionBy(*event).orderBy(F.length("item"), "item")
+    shown = F.when(F.col("at") <= SHOWN_ITEMS, F.struct("at", "item"))  # no more are ever collected
+    per = counted.withColumn("at", F.row_number().over(first)).groupBy(*event).agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("c"), F.array_sort(F.collect_list(shown)).alias("shown"))
+    hits = per.withColumn("n", F.when(F.col("distinct"), F.col("k")).otherwise(F.col("c"))).filter(F.col("n") >= F.col("threshold"))
+    items = F.concat(F.array_join(F.transform("shown", lambda x: x["item"]), ", "), F.when(F.col("k") > SHOWN_ITEMS, "\u2026").otherwise(""))
+    return hits.select(owner, "session_start_s", "rule", "n", items.alias("items"), "event_key")
+
+
+def rule_evidence(sessions: DataFrame, rules: list[Rule], owner: str = "owner", text: str = "query_text") -> DataFrame:
+    """``event_key, id``: the rows that each event of apply_rules rests on.
+
+    A relation, not an array per event: a session may be as long as its owner's log. A row without an id is no evidence.
+    """
+    rows = _matches(sessions, rules, owner, text).filter("id is not null").select("event_key", "id")
+    return hot_key_join(rows, apply_rules(sessions, rules, owner, text).select("event_key"), "event_key", F.col("id"))
+
+
+def rules_from(raw: str) -> list[Rule]:
+    """Rules from JSON, a list of objects with the fields of Rule; ValueError where one is malformed or a name repeated."""
+    try:
+        listed = json.loads(raw)
+        rules = [Rule(**r) for r in listed]
+    except (TypeError, ValueError) as e:
+        raise ValueError(f"not a list of rules: {e}") from e
+    if not rules or len({r.name for r in rules}) < len(rules):
+        raise ValueError("no rules, or a name twice")
+    return rules
 
 
 def collapse_replays(rows: DataFrame, keys: list[str], at: str, seconds: int = 600) -> DataFrame:

@@ -47,6 +47,11 @@ def mark(rows: DataFrame, keys: DataFrame, key: str, column: str, value: Column)
     return rows.join(hit, key, "left").withColumn(column, F.when(F.col("_hit"), value).otherwise(F.col(column))).drop("_hit")
 
 
+def unmarked(rows: DataFrame, marks: DataFrame, keys: list[str]) -> DataFrame:
+    """What is still to be delivered: rows whose keys no earlier delivery marked."""
+    return rows.join(marks.select(*keys).distinct(), keys, "left_anti")
+
+
 def unexpired(rows: DataFrame, expires: str, now: Column) -> DataFrame:
     """Rows whose time to live isn't over; a null never ends."""
     return rows.filter(F.col(expires).isNull() | (F.col(expires) > now))

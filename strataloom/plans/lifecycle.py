@@ -44,7 +44,7 @@ def asof_valid_time(spark, d):
 def asof_each_event(spark, d):
     """How many records were valid when each retirement occurred."""
     times = table(spark, d, "supersession_events").filter("occurred_at is not null").select(F.unix_seconds("occurred_at").alias("at_s")).distinct()
-    return L.as_of_each(_records(spark, d, "valid_from", "valid_until"), times).groupBy("at_s").agg(F.count(F.lit(1)).alias("n_valid"), F.min("id").alias("least_id"))
+    return L.counts_at(_records(spark, d, "valid_from", "valid_until"), times)
 
 
 def lifespan_chain(spark, d):

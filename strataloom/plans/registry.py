@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("lineage", "reports", "search", "taxonomy", "lifecycle", "sessions", "chunking", "more")
+MODULES = ("lineage", "reports", "search", "taxonomy", "lifecycle", "sessions", "chunking", "more", "state")
 
 
 def collect() -> tuple[dict, dict]:

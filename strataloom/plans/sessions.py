@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strataloom.functions.ids import uuid_of
@@ -12,7 +13,10 @@ from strataloom.sources.tables import records, table
 
 NOW = "2026-09-01 00:00:00"
 #: Rules of the registered queries.
-RULES = [S.Rule("numbers", r"\b([0-9]+)\b", 2, "items"), S.Rule("how_to", r"\bhow do i\b", 2), S.Rule("why", r"\bwhy\b", 1)]
+RULES = S.rules_from(
+    r"""[{"name": "numbers", "pattern": "\\b([0-9]+)\\b", "threshold": 2, "kind": "items"}, {"name": "how_to", "pattern": "\\bhow do i\\b", "threshold": 2},
+    {"name": "why", "pattern": "\\bwhy\\b", "threshold": 1}]"""
+)
 
 
 def _log(spark, d):
@@ -27,6 +31,11 @@ def session_rules(spark, d):
     return S.apply_rules(S.sessionize(_log(spark, d)), RULES).select("owner", "session_start_s", "rule", "n", "items", "event_key")
 
 
+def session_rule_evidence(spark, d):
+    """The queries that each event of session_rules rests on."""
+    return S.rule_evidence(S.sessionize(_log(spark, d)), RULES)
+
+
 def event_sessions(spark, d):
     """Sessions of the event stream, per user."""
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("flagged", F.col("event_type") == "error")
@@ -110,21 +119,23 @@ def rechunk(spark, d):
     return W.replace_children(k.select("document_id", "chunk_index", "id"), again, "document_id")
 
 
-def compiled_page(spark, d):
+def pages(k):
     """Per domain the five latest current records' first lines on one page, newest first."""
-    from pyspark.sql import Window
-
-    k = records(spark, d, "domain", "status", "content", "valid_from").filter("status = 'current' and content is not null and valid_from is not null")
+    k = k.filter("status = 'current' and content is not null and valid_from is not null")
     w = Window.partitionBy("domain").orderBy(F.desc("valid_from"), "id")
     top = k.withColumn("r", F.row_number().over(w)).filter("r <= 5").select("domain", "r", F.substring(F.split_part("content", F.lit("\n"), F.lit(1)), 1, 80).alias("line"))
     page = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "line"))), lambda x: x["line"]), "\n")
     return top.groupBy("domain").agg(page.alias("page"), F.count(F.lit(1)).alias("n"))
 
 
+def compiled_page(spark, d):
+    return pages(records(spark, d, "domain", "status", "content", "valid_from"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        session_counts, session_rules, event_sessions, tumbling_dedupe, trailing_hour_rate, lookback_scan, range_scan, tenant_scan, ttl_filter, retention, mark_reported, upsert_coalesce, insert_if_absent, counter_upsert, rechunk, compiled_page,
+        session_counts, session_rules, session_rule_evidence, event_sessions, tumbling_dedupe, trailing_hour_rate, lookback_scan, range_scan, tenant_scan, ttl_filter, retention, mark_reported, upsert_coalesce, insert_if_absent, counter_upsert, rechunk, compiled_page,
     )
 }
 
@@ -137,16 +148,20 @@ a as (select *, case when lag(s) over (partition by {owner} order by s) is null
 ss as (select *, max(st) over (partition by {owner} order by s rows between unbounded preceding and current row) as session_start_s from a)"""
 
 
+_RULED = f"""{_LOG}, {_sessions('lg', 'owner', 1800)},
+        i as (select owner, session_start_s, unnest(regexp_extract_all(lower(query_text), '\\b([0-9]+)\\b', 1)) as item from ss),
+        x as (select owner, session_start_s, 'numbers' as rule, count(distinct item) as n, array_to_string(list_slice(list_sort(list(distinct {{'l': length(item), 'item': item}})), 1, 12).list_transform(lambda z: z.item), ', ')
+            || case when count(distinct item) > 12 then '\u2026' else '' end as items from i group by 1, 2 having count(distinct item) >= 2
+          union all select owner, session_start_s, 'how_to', count(*), '' from ss where regexp_matches(lower(query_text), '\\bhow do i\\b') group by 1, 2 having count(*) >= 2
+          union all select owner, session_start_s, 'why', count(*), '' from ss where regexp_matches(lower(query_text), '\\bwhy\\b') group by 1, 2)"""
 _SUM = "select {0}, session_start_s, count(*) as n, max(s) as session_end_s, count(*) filter (where coalesce(flagged, false)) as n_flagged from ss group by 1, 2"
 ORACLES = {
     "session_counts": f"with {_LOG}, {_sessions('lg', 'owner', 1800)} " + _SUM.format("owner"),
     "event_sessions": f"with lg as (select user_id, event_type = 'error' as flagged, epoch_us(ts) // 1000000 as s from events), {_sessions('lg', 'user_id', 21600)} " + _SUM.format("user_id"),
-    "session_rules": f"""with {_LOG}, {_sessions('lg', 'owner', 1800)},
-        i as (select owner, session_start_s, unnest(regexp_extract_all(lower(query_text), '\\b([0-9]+)\\b', 1)) as item from ss),
-        x as (select owner, session_start_s, 'numbers' as rule, count(distinct item) as n, array_to_string(list_slice(list_sort(list(distinct {{'l': length(item), 'item': item}})), 1, 12).list_transform(lambda z: z.item), ', ') as items from i group by 1, 2 having count(distinct item) >= 2
-          union all select owner, session_start_s, 'how_to', count(*), '' from ss where regexp_matches(lower(query_text), '\\bhow do i\\b') group by 1, 2 having count(*) >= 2
-          union all select owner, session_start_s, 'why', count(*), '' from ss where regexp_matches(lower(query_text), '\\bwhy\\b') group by 1, 2)
-        select *, sha256(concat_ws('|', owner, rule, session_start_s::varchar)) as event_key from x""",
+    "session_rules": f"with {_RULED} select *, sha256(concat_ws('|', owner, rule, session_start_s::varchar)) as event_key from x",
+    "session_rule_evidence": f"""with {_RULED}, m as (select id, owner, session_start_s, 'numbers' as rule from ss where regexp_matches(lower(query_text), '\\b([0-9]+)\\b')
+          union all select id, owner, session_start_s, 'how_to' from ss where regexp_matches(lower(query_text), '\\bhow do i\\b') union all select id, owner, session_start_s, 'why' from ss where regexp_matches(lower(query_text), '\\bwhy\\b'))
+        select sha256(concat_ws('|', owner, rule, session_start_s::varchar)) as event_key, id from m semi join x using (owner, session_start_s, rule) where id is not null""",
     "tumbling_dedupe": f"with {_LOG} select owner, mode, s // 600 * 600 as bucket_s, count(*) as n, min(s) as first_s from lg where s is not null group by 1, 2, 3",
     "trailing_hour_rate": f"with {_LOG} select id, owner, count(*) over (partition by owner order by s range between 3599 preceding and current row) as n_trailing from lg where owner is not null and s is not null",
     "lookback_scan": f"with {_LOG} select id, s as at_s from lg where created_at >= timestamptz '2026-01-31 21:00:00+00' and created_at < timestamptz '2026-02-02 00:00:00+00'",

@@ -53,11 +53,16 @@ def retag_plan(spark, d):
     return n.filter(~F.coalesce("tags", F.array().cast("array<string>")).eqNullSafe(F.col("canonical_tags"))).select("id", F.array_join("tags", "|").alias("old"), F.array_join("canonical_tags", "|").alias("new"))
 
 
+def proposals(k, vocabulary):
+    """Unknown tags by key: ``key, n, spelling, sample_id, last_s`` of records (``id, tags, created_at``)."""
+    u = T.normalize_tags(k, vocabulary).select("id", F.explode("unknown_tags").alias("tag")).withColumn("key", F.translate(F.lower(F.trim("tag")), " _", "--"))
+    u = u.join(k.select("id", F.unix_seconds("created_at").alias("s")), "id")
+    return u.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("tag").alias("spelling"), F.min("id").alias("sample_id"), F.max("s").alias("last_s"))
+
+
 def tag_proposals(spark, d):
     """Unknown tags by key: how often, which spelling first, from which record first."""
-    n = T.normalize_tags(records(spark, d, "tags"), table(spark, d, "tag_vocabulary"))
-    u = n.select("id", F.explode("unknown_tags").alias("tag")).withColumn("key", F.translate(F.lower(F.trim("tag")), " _", "--"))
-    return u.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("tag").alias("spelling"), F.min("id").alias("sample_id"))
+    return proposals(records(spark, d, "tags", "created_at"), table(spark, d, "tag_vocabulary")).drop("last_s")
 
 
 def component_keys(spark, d):

@@ -201,3 +201,64 @@ def test_stems(spark):
     questions = spark.createDataFrame([("q", "router packet")], "qid string, question string")
     found = S.lexical_top(questions, rows.withColumnRenamed("t", "content"), analyze=stems).collect()
     assert [r["id"] for r in found] == ["a"]
+
+
+def test_rules_are_refused_when_malformed():
+    from strataloom.operators.sessions import rules_from
+
+    good = '[{"name": "a", "pattern": "x([0-9])", "threshold": 1, "kind": "items"}]'
+    assert rules_from(good)[0].threshold == 1
+    for bad in ("", "{}", "[]", "[1]", '[{"name": "a"}]', good.replace("([0-9])", "[0-9]"), good.replace("x([0-9])", "("), good.replace(": 1", ": 0"), good.replace(": 1", ": true"), good.replace("items", "rounds"), f"[{good[1:-1]}, {good[1:-1]}]"):
+        with pytest.raises(ValueError):
+            rules_from(bad)
+
+
+def test_events_show_twelve_items_and_an_ellipsis(spark):
+    from strataloom.operators import sessions as S
+
+    text = lambda n: " ".join(str(i) for i in range(1, n + 1))
+    log = spark.createDataFrame([("1", "a", 0, text(12)), ("2", "b", 0, text(13)), ("3", "c", 0, None), (None, "b", 0, "7"), ("4", "d", 0, "")], "id string, owner string, session_start_s bigint, query_text string")
+    rules = [S.Rule("n", "([0-9]+)", 2, "items"), S.Rule("two", "7", 2)]
+    got = {(r["owner"], r["rule"]): (r["n"], r["items"], r["event_key"]) for r in S.apply_rules(log, rules).collect()}
+    first = ", ".join(str(i) for i in range(1, 13))
+    assert {k: v[:2] for k, v in got.items()} == {("a", "n"): (12, first), ("b", "n"): (13, first + "…"), ("b", "two"): (2, "")}
+    evidence = {(r["event_key"], r["id"]) for r in S.rule_evidence(log, rules).collect()}
+    assert evidence == {(got["a", "n"][2], "1"), (got["b", "n"][2], "2"), (got["b", "two"][2], "2")}
+    assert S.rule_evidence(log.limit(0), rules).count() == 0
+
+
+def test_counts_at_against_brute_force(spark):
+    import random
+
+    from strataloom.operators.lifecycle import counts_at
+
+    rng = random.Random(3)
+    base = 1_700_000_000
+    spells = [(f"r{i:03}", base + rng.randrange(-50, 5000), None if i % 7 == 0 else base + rng.randrange(-50, 9000)) for i in range(300)] + [("none", None, base), ("back", base + 9, base + 3)]
+    rows = spark.createDataFrame(spells, "id string, a bigint, b bigint").selectExpr("id", "timestamp_seconds(a) as valid_from", "timestamp_seconds(b) as valid_until")
+    at = sorted({base + rng.randrange(-100, 9000) for _ in range(200)})
+    want = {}
+    for t in at:
+        live = [i for i, a, b in spells if a is not None and a <= t and (b is None or b > t)]
+        if live:
+            want[t] = (len(live), min(live))
+    times = spark.createDataFrame([(t,) for t in at + at[:5] + [None]], "at_s bigint")
+    assert {r["at_s"]: (r["n_valid"], r["least_id"]) for r in counts_at(rows, times).collect()} == want
+    assert counts_at(rows, times.limit(0)).count() == 0 and counts_at(rows.limit(0), times).count() == 0
+    one = spark.createDataFrame([(at[50],)], "at_s bigint")
+    assert {r["at_s"]: (r["n_valid"], r["least_id"]) for r in counts_at(rows, one).collect()} == {at[50]: want[at[50]]}
+
+
+def test_scopes(spark):
+    from strataloom.operators.lifecycle import left_over, newest, scoped
+
+    rows = spark.createDataFrame(
+        [("a", "current", "N", "o", 1), ("b", "draft", "N", "o", 3), ("c", "current", None, "p", None), ("d", None, "N", "o", 2)], "id string, status string, domain string, created_by string, s bigint"
+    ).selectExpr("*", "timestamp_seconds(s) as valid_from", "cast(null as string) environment", "cast(null as string) system")
+    ids = lambda df: {r["id"] for r in df.collect()}
+    assert ids(scoped(rows)) == {"a", "c"} and ids(scoped(rows, {"status": None})) == {"a", "b", "c", "d"}
+    assert ids(scoped(rows, {"domain": "N", "colour": "red", "system": ""})) == {"a"} and ids(scoped(rows, {"status": "draft"}, owner="o")) == {"b"}
+    assert [r["id"] for r in newest(rows, 3).collect()] == ["c", "b", "d"]
+    shown = spark.createDataFrame([("q", "a"), ("q", "b"), ("q", "b"), ("r", "a")], "qid string, id string")
+    got = {r["qid"]: tuple(r)[1:] for r in left_over(shown, spark.createDataFrame([("q", "a"), ("r", "a"), ("r", "z")], "qid string, id string")).collect()}
+    assert got == {"q": (2, 1, "b"), "r": (1, 0, None)}

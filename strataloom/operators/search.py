@@ -1,8 +1,8 @@
 """Retrieval for batches of questions: vector and lexical top-k, rank fusion, modifiers, confidence, collapse.
 
-Questions come as a DataFrame, and every window is partitioned by question. Vectors are compared exactly: each block
-of questions meets each slice of the rows in a task of its own, which keeps the k best of its rows per question; only
-these go on. Nothing passes through the driver.
+Questions come as a DataFrame, and every window is partitioned by question. Vectors and terms are compared exactly: each
+block of questions meets each slice of the rows in a task of its own, which keeps the k best of its rows per question;
+only these go on. Nothing passes through the driver.
 """
 
 from __future__ import annotations
@@ -11,11 +11,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from strataloom.functions.text import content_terms, terms
-from strataloom.operators.skew import sketch_semi
 
 #: Questions and rows that meet in one task. Rows are sent once per block of questions, questions once per slice of rows.
 QUESTION_BLOCK, SLICE_ROWS = 32_768, 65_536
@@ -63,51 +63,98 @@ def _first(rows: DataFrame, order: WindowSpec, k: int, name: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k).withColumn(name, F.col("_n") - 1).drop("_n")
 
 
+def _met(asked: DataFrame, held: DataFrame, run: Callable, value: str, n_asked: int, n_held: int) -> DataFrame:
+    """``qid, id, <value>``: what ``run`` finds where a block of questions (``qid`` and more) meets a slice of rows (``id`` and more)."""
+    blocks = max(1, -(-n_asked // QUESTION_BLOCK))
+    slices = max(-(-n_held // SLICE_ROWS), -(-asked.sparkSession.sparkContext.defaultParallelism // blocks))
+    of = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = asked.withColumn("block", of("qid", blocks)).withColumn("slice", every(slices))
+    held = held.withColumn("slice", of("id", slices)).withColumn("block", every(blocks))
+    kinds = dict(asked.dtypes)["qid"], dict(held.dtypes)["id"]
+    return asked.groupBy("block", "slice").cogroup(held.groupBy("block", "slice")).applyInArrow(run, f"qid {kinds[0]}, id {kinds[1]}, {value} double")
+
+
 def vector_top(questions: DataFrame, rows: DataFrame, k: int = POOL, exclude_self: bool = False) -> DataFrame:
     """For each question (``qid, embedding``) its ``k`` most similar rows (``id, embedding``), exactly.
 
     Columns ``qid, id, similarity, vector_rank`` (from 0; ties to the smaller id). Vectors on either side must be
     usable (see functions.vectors.usable). ``exclude_self`` leaves out a row whose id is the question's.
     """
-    kinds = dict(questions.dtypes)["qid"], dict(rows.dtypes)["id"]
-    blocks = max(1, -(-questions.count() // QUESTION_BLOCK))
-    slices = max(-(-rows.count() // SLICE_ROWS), -(-questions.sparkSession.sparkContext.defaultParallelism // blocks))
-    of = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = questions.select(F.col("qid").alias("qid"), F.col("embedding").alias("asked"), of("qid", blocks).alias("block")).withColumn("slice", every(slices))
-    held = rows.select(F.col("id").alias("id"), F.col("embedding").alias("vector"), of("id", slices).alias("slice")).withColumn("block", every(blocks))
-    found = asked.groupBy("block", "slice").cogroup(held.groupBy("block", "slice")).applyInArrow(_block_top(k, exclude_self), f"qid {kinds[0]}, id {kinds[1]}, similarity double")
+    asked = questions.select(F.col("qid").alias("qid"), F.col("embedding").alias("asked"))
+    held = rows.select(F.col("id").alias("id"), F.col("embedding").alias("vector"))
+    found = _met(asked, held, _block_top(k, exclude_self), "similarity", questions.count(), rows.count())
     best = Window.partitionBy("qid").orderBy(F.desc(F.round("similarity", 12)), "id")
     return _first(found, best, k, "vector_rank")
 
 
-def postings(rows: DataFrame, analyze: Callable[[str], Column] = content_terms, asked: DataFrame | None = None) -> DataFrame:
-    """Inverted index ``term, id, tf`` of ``id, content``: stop words left out, and most terms that aren't among ``asked``."""
-    every = rows.select("id", F.explode(analyze("content")).alias("term"))
-    return (every if asked is None else sketch_semi(every, asked, "term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
+def _codes(lists: pa.ChunkedArray, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and codes of the terms of ``vocabulary`` in lists of terms."""
+    lists = lists.combine_chunks()
+    code = pc.index_in(lists.flatten(), value_set=vocabulary)
+    known = pc.is_valid(code).to_numpy(zero_copy_only=False)
+    row = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)[known]
+    return row.astype(np.int64), code.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _block_lexical(k: int, same: bool):
+    def run(key: tuple[pa.Scalar, ...], questions: pa.Table, rows: pa.Table) -> pa.Table:
+        asked, ids = questions.column("qid").combine_chunks(), rows.column("id").combine_chunks()
+        names = ids.unique()
+        names = names.take(pc.sort_indices(names))  # ties to the smaller id
+        found = []
+        if len(asked) and len(names):
+            vocabulary = questions.column("wanted").combine_chunks().flatten().unique()
+            row, code = _codes(rows.column("held"), vocabulary)
+            place = pc.index_in(ids, value_set=names).to_numpy(zero_copy_only=False).astype(np.int64)
+            posted, tf = np.unique(code * len(names) + place[row], return_counts=True)
+            at, weight = posted % len(names), tf / (tf + 1.2)
+            start = np.searchsorted(posted // len(names), np.arange(len(vocabulary) + 1))
+            q_row, wanted = _codes(questions.column("wanted"), vocabulary)
+            q_start = np.searchsorted(q_row, np.arange(len(asked) + 1))
+            own = pc.index_in(asked, value_set=names).fill_null(-1).to_numpy(zero_copy_only=False) if same else np.full(len(asked), -1)
+            score = np.zeros(len(names))
+            for q in range(len(asked)):
+                score[:] = 0
+                for t in wanted[q_start[q] : q_start[q + 1]]:
+                    hit = slice(start[t], start[t + 1])
+                    score[at[hit]] += weight[hit]  # a row is there once per term
+                if own[q] >= 0:
+                    score[own[q]] = 0
+                met = np.flatnonzero(score)
+                value = np.round(score[met], 9)
+                if len(met) > k:
+                    good = value >= np.partition(value, -k)[-k]
+                    met, value = met[good], value[good]
+                best = np.argsort(-value, kind="stable")[:k]
+                found.append((np.full(len(best), q), met[best], value[best]))
+        q, r, value = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        return pa.table({"qid": asked.take(pa.array(q)), "id": names.take(pa.array(r)), "lexical_score": pa.array(value)})
+
+    return run
 
 
 def question_terms(questions: DataFrame, text: str = "question", analyze: Callable[[str], Column] = content_terms) -> DataFrame:
-    """``qid, term``: what the analysis leaves of the first 16 terms of each question, stop words and repeats counted among these."""
+    """``qid, wanted``: what the analysis leaves of the first 16 terms of each question, stop words and repeats counted among
+    these; questions of which nothing is left are left out."""
     first = F.array_join(F.slice(terms(text), 1, MOST_TERMS), " ")
-    return questions.select("qid", F.explode(F.array_distinct(analyze(first))).alias("term"))
+    return questions.select(F.col("qid").alias("qid"), F.array_distinct(analyze(first)).alias("wanted")).filter(F.size("wanted") > 0)
 
 
 def lexical_top(questions: DataFrame, rows: DataFrame, k: int = POOL, exclude_self: bool = False, analyze: Callable[[str], Column] = content_terms) -> DataFrame:
-    """For each question (``qid, question``) the ``k`` rows (``id, content``) with the greatest term score.
+    """For each question (``qid, question``) the ``k`` rows (``id, content``) with the greatest term score, exactly.
 
     The score is ours: the sum over matched terms of tf / (tf + 1.2), term saturation without length or idf. Columns
-    ``qid, id, lexical_score, lexical_rank`` (from 0; ties to the smaller id). Terms are joined, so a question
-    meets only rows that share one with it. ``analyze`` gives the terms of a text (functions.analyzer.stems folds
-    English inflections).
+    ``qid, id, lexical_score, lexical_rank`` (from 0; ties to the smaller id). Texts without terms and questions without
+    any find nothing; rows of one id count as one. Each slice of the rows is turned into postings in its task, so a term
+    that many rows share is never a key that is shuffled. ``analyze`` gives the terms of a text
+    (functions.analyzer.stems folds English inflections).
     """
     asked = question_terms(questions, analyze=analyze)
-    hits = postings(rows, analyze, asked).join(asked, "term")
-    if exclude_self:
-        hits = hits.filter(F.col("qid") != F.col("id"))
-    score = hits.groupBy("qid", "id").agg(F.round(F.sum(F.col("tf") / (F.col("tf") + 1.2)), 9).alias("lexical_score"))
+    held = rows.select(F.col("id").alias("id"), analyze("content").alias("held")).filter(F.size("held") > 0)
+    found = _met(asked, held, _block_lexical(k, exclude_self), "lexical_score", questions.count(), rows.count())
     best = Window.partitionBy("qid").orderBy(F.desc("lexical_score"), "id")
-    return _first(score, best, k, "lexical_rank")
+    return _first(found, best, k, "lexical_rank")
 
 
 def fuse(vector: DataFrame, lexical: DataFrame, k: int = RRF_K) -> DataFrame:

@@ -262,3 +262,38 @@ def test_scopes(spark):
     shown = spark.createDataFrame([("q", "a"), ("q", "b"), ("q", "b"), ("r", "a")], "qid string, id string")
     got = {r["qid"]: tuple(r)[1:] for r in left_over(shown, spark.createDataFrame([("q", "a"), ("r", "a"), ("r", "z")], "qid string, id string")).collect()}
     assert got == {"q": (2, 1, "b"), "r": (1, 0, None)}
+
+
+@pytest.mark.parametrize("block, piece", [(32_768, 65_536), (7, 11)])
+def test_lexical_top_against_brute_force(spark, monkeypatch, block, piece):
+    import random
+    from collections import Counter
+
+    monkeypatch.setattr(S, "QUESTION_BLOCK", block)
+    monkeypatch.setattr(S, "SLICE_ROWS", piece)
+    rng = random.Random(5)
+    word = lambda: rng.choice(["alpha", "beta", "gamma", "delta", "the", "x", "omega1", "zeta", "eta"])
+    texts = {i: " ".join(word() for _ in range(rng.randrange(0, 14))) for i in range(60)} | {60: None, 61: "", 62: "the and", 63: "alpha " * 3000, 64: "common", 65: "common"}
+    rows = spark.createDataFrame(list(texts.items()), "id int, content string")
+    questions = [(0, "alpha beta beta"), (1, texts[1]), (2, None), (3, "the"), (64, "common"), (99, "nothing here"), (100, "the " * 16 + "alpha"), (101, "gamma zeta eta")]
+    asked = spark.createDataFrame(questions, "qid int, question string")
+
+    def terms(text):
+        return [w for w in (text or "").lower().split() if len(w) > 1]
+
+    def best(q, text, k):
+        wanted = {w for w in terms(text)[:16] if w not in ("the", "and", "here")}
+        found = []
+        for i, t in texts.items():
+            tf = Counter(terms(t))
+            score = round(sum(tf[w] / (tf[w] + 1.2) for w in wanted if tf[w]), 9)
+            if score and i != q:
+                found.append((-score, i))
+        return [i for _, i in sorted(found)[:k]]
+
+    got = {}
+    for r in S.lexical_top(asked, rows, 9, exclude_self=True).collect():
+        got.setdefault(r["qid"], {})[r["lexical_rank"]] = r["id"]
+    assert {q: [x[i] for i in range(len(x))] for q, x in got.items()} == {q: w for q, t in questions if (w := best(q, t, 9))}
+    assert got[64] == {0: 65}
+    assert S.lexical_top(asked.limit(0), rows).count() == 0 and S.lexical_top(asked, rows.limit(0)).count() == 0

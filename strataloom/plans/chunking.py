@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from strataloom.functions.ids import uuid_of
 from strataloom.functions.text import title, word_count, words_sql
+from strataloom.functions.markup import escaped, escaped_sql, readable, readable_sql
 from strataloom.operators import chunking as C
 from strataloom.plans.reports import one, ref
-from strataloom.sources.files import mapped, text_of_html
 from strataloom.sources.tables import records, table
 
 
+_MARKUP = "<[a-zA-Z/!]|&[a-z#0-9]+;"
 TEMPLATES = ("{}", "please {}", "tell me: {}", "{} in the lab")
 
 
@@ -72,8 +73,13 @@ def word_counts(spark, d):
 
 def html_text(spark, d):
     """Texts that hold markup or entities, as readable text."""
-    t = table(spark, d, "documents").filter(F.col("text").rlike("<[a-zA-Z/!]|&[a-z#0-9]+;"))
-    return mapped(t, "doc_id", "text", text_of_html).select("doc_id", F.length("text").alias("n_chars"))
+    t = table(spark, d, "documents").filter(F.col("text").rlike(_MARKUP)).select("doc_id", readable("text").alias("text"))
+    return t.select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("text_hash"))
+
+
+def html_escaped(spark, d):
+    """Texts made safe for markup."""
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", F.md5(escaped("text")).alias("text_hash"))
 
 
 def injection_flags(spark, d):
@@ -124,7 +130,7 @@ def query_variants(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        token_windows, slices_1500, heading_sections, chunk_documents, legacy_sections, chunk_ingest_ids, chunk_ids, ingest_ids, titles, min_length, word_counts, html_text, injection_flags, misfiled, prefix_purge, unique_needles, documents_union, query_variants,
+        token_windows, slices_1500, heading_sections, chunk_documents, legacy_sections, chunk_ingest_ids, chunk_ids, ingest_ids, titles, min_length, word_counts, html_text, html_escaped, injection_flags, misfiled, prefix_purge, unique_needles, documents_union, query_variants,
     )
 }
 
@@ -188,6 +194,8 @@ ORACLES = {
     "min_length": "select source_type, count(*) filter (where coalesce(length(trim(text)) >= 80, false)) as n_kept, count(*) filter (where not coalesce(length(trim(text)) >= 80, false)) as n_dropped from documents group by 1",
     "word_counts": f"select id, coalesce(len({words_sql('content')}), 0) as n_words from {one('content')}",
     "injection_flags": r"select doc_id, lower(regexp_extract(text, '(?i)\b(ignore (?:all|the|any) |disregard |system prompt|you must now )', 1)) as phrase from documents where regexp_extract(text, '(?i)\b(ignore (?:all|the|any) |disregard |system prompt|you must now )', 1) <> ''",
+    "html_text": f"""with t as (select doc_id, {readable_sql('text')} as text from documents where regexp_matches(text, '{_MARKUP}')) select doc_id, length(text) as n_chars, md5(text) as text_hash from t""",
+    "html_escaped": f"select doc_id, md5({escaped_sql('text')}) as text_hash from documents where text is not null",
     "misfiled": rf"""select id, left(content, 140) as preview, epoch_us(created_at) // 1000000 as at_s from {one('domain', 'status', 'content', 'tags', 'created_at')} where domain in ('Personal', 'Study') and status = 'current'
         and (coalesce(regexp_matches(content, '(?i)\b(switch|router|vlan|trunk port)'), false) or coalesce(list_has_any(tags, ['Switch', 'VLAN']), false))""",
     "prefix_purge": f"select domain, count(*) as n from {one('content', 'domain')} where not (starts_with(coalesce(content, ''), 'Question:') or starts_with(coalesce(content, ''), 'Still open:') or starts_with(coalesce(content, ''), 'My summary:') or starts_with(coalesce(content, ''), '- ')) group by 1",

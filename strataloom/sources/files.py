@@ -9,17 +9,16 @@ import io
 import zipfile
 from collections.abc import Callable, Iterator
 from functools import reduce
-from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataloom.functions.markup import readable
+
 #: Mean characters per page below which a PDF is images, or a mix.
 IMAGE_CHARS, MIXED_CHARS = 50, 200
-#: Elements without readable text.
-SILENT = ("head", "noscript", "script", "style")
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -36,31 +35,6 @@ def markdown(spark: SparkSession, root: str) -> DataFrame:
     return _described(files, root, F.col("_v"))
 
 
-class _Text(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.silent, self.found = 0, []
-
-    def handle_starttag(self, tag, attrs):
-        self.silent += tag in SILENT
-
-    def handle_endtag(self, tag):
-        if tag in SILENT and self.silent:
-            self.silent -= 1
-
-    def handle_data(self, data):
-        if not self.silent and data.strip():
-            self.found.append(data.strip())
-
-
-def text_of_html(html: str) -> str:
-    """The readable text nodes, a line each."""
-    parser = _Text()
-    parser.feed(html)
-    parser.close()
-    return "\n".join(parser.found)
-
-
 def text_of_docx(data: bytes) -> str:
     """Paragraphs as lines; heading styles as Markdown headings."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
@@ -96,8 +70,9 @@ def mapped(rows: DataFrame, key: str, column: str, convert: Callable, to: str =
 
 
 def html(spark: SparkSession, root: str) -> DataFrame:
+    """All ``*.html`` files under a folder as readable text (see functions.markup)."""
     files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.html").select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("_v"))
-    return _described(mapped(files, "path", "_v", text_of_html, "_t"), root, F.col("_t"))
+    return _described(files, root, readable(F.col("_v")))
 
 
 def docx(spark: SparkSession, root: str) -> DataFrame:

@@ -9,10 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from strataloom.operators.writes import unmarked
+from strataloom.session import written
+
 LATENESS = "3 hours"
 
 
@@ -72,18 +75,57 @@ def first_retirements(events: DataFrame) -> DataFrame:
     return slim.groupBy("superseded_id").applyInPandasWithState(update, "superseded_id string, status string, event_id string", "event_id string", "append", GroupStateTimeout.NoTimeout)
 
 
-def append_new(target_path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
+def _day(at: str) -> Column:
+    return F.date_from_unix_date(F.floor(F.unix_seconds(at) / 86400).cast("int"))
+
+
+def _kept(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, or nothing where none was written yet."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = there.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(there)] if files.exists(there) else []
+    return spark.read.parquet(path) if any("=" in n or n[0] not in "._" for n in names) else None
+
+
+def append_new(target_path: str, keys: list[str], at: str | None = None) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: appends the rows whose keys the table at ``target_path`` lacks, so that a batch that is run
-    again adds nothing."""
+    again adds nothing.
+
+    With ``at``, a row's own time, which doesn't change when it is delivered again, the table lies in a folder per day (``_day``; rows
+    without a time in one of their own), and only the days that a batch has are read. Without, all keys of the table are.
+    """
+
+    def run(batch: DataFrame, _: int) -> None:
+        new = batch.dropDuplicates(keys)
+        held = _kept(batch.sparkSession, target_path)
+        if at:
+            new = new.withColumn("_day", _day(at))
+        if at and held is not None:
+            days = [r[0] for r in new.select("_day").distinct().collect()]  # of one batch
+            known = F.col("_day").isin([d for d in days if d is not None])
+            held = held.filter(known | F.col("_day").isNull() if None in days else known)
+        if held is not None:
+            new = new.join(held.select(*keys), keys, "left_anti")
+        write = new.write.mode("append")
+        (write.partitionBy("_day") if at else write).parquet(target_path)
+
+    return run
+
+
+def deliver_then_mark(deliver: Callable[[DataFrame], None], marks_path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: hands the rows that aren't marked yet to ``deliver`` and marks them when it has returned.
+
+    Where it fails, or the batch ends before the marks are written, the rows come again: at least once, never lost. A batch
+    without such rows delivers nothing.
+    """
 
     def run(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
         new = batch.dropDuplicates(keys)
-        try:
-            new = new.join(spark.read.parquet(target_path).select(*keys), keys, "left_anti")
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        new.write.mode("append").parquet(target_path)
+        marks = _kept(batch.sparkSession, marks_path)
+        new = new if marks is None else unmarked(new, marks, keys)
+        new = written(new, "delivery")  # what is marked is what was delivered
+        if not new.isEmpty():
+            deliver(new)
+            new.select(*keys).write.mode("append").parquet(marks_path)
 
     return run

@@ -297,3 +297,18 @@ def test_lexical_top_against_brute_force(spark, monkeypatch, block, piece):
     assert {q: [x[i] for i in range(len(x))] for q, x in got.items()} == {q: w for q, t in questions if (w := best(q, t, 9))}
     assert got[64] == {0: 65}
     assert S.lexical_top(asked.limit(0), rows).count() == 0 and S.lexical_top(asked, rows.limit(0)).count() == 0
+
+
+def test_readable_html(spark):
+    from strataloom.functions.markup import escaped, readable
+
+    cases = {
+        None: None, "": "", "plain": "plain", "<p>a<br>b</p>": "a\nb", "a &amp;lt; b &#233;&#xE9; &#X1F600; &bogus; & &;": "a &lt; b éé 😀 &bogus; & &;", "&#0;&#xD800;&#9999999;": "�" * 3,
+        "x<script>if (a<b) {}</script>y<!-- c -->z<style>q": "x\ny\nz", "<HEAD><title>t</title></HEAD>B": "B", "1 < 2 <b>c</b>": "1 < 2\nc", "&nbsp;<p>  k \t</p>": "k", "<headline>h</headline>": "h",
+    }
+    rows = spark.createDataFrame([(t,) for t in cases], "t string").select("t", readable("t").alias("r"), escaped("t").alias("e")).collect()
+    assert {r["t"]: r["r"] for r in rows} == cases
+    assert {r["t"]: r["e"] for r in rows}["1 < 2 <b>c</b>"] == "1 &lt; 2 &lt;b&gt;c&lt;/b&gt;"
+    assert spark.createDataFrame([("\"'&",)], "t string").select(escaped("t")).first()[0] == "&quot;&#x27;&amp;"
+    long = "<i>" * 20_000 + "&gt;" * 20_000
+    assert spark.createDataFrame([(long,)], "t string").select(readable("t")).first()[0] == ">" * 20_000

@@ -68,3 +68,37 @@ def test_append_new_is_idempotent(spark, tmp_path):
 @pytest.mark.parametrize("text,seconds", [("30 minutes", 1800), ("3 hours", 10800), ("1 second", 1)])
 def test_seconds(text, seconds):
     assert E._seconds(text) == seconds
+
+
+def test_append_new_reads_the_days_of_a_batch(spark, tmp_path):
+    def rows(*listed):
+        return spark.createDataFrame(listed, "id string, s bigint").selectExpr("id", "timestamp_seconds(s) as created_at")
+
+    add = E.append_new(f"{tmp_path}/t", ["id"], at="created_at")
+    first = rows(("a", 10), ("b", 90_000), ("n", None))
+    for _ in range(2):
+        add(first, 0)
+    add(rows(("c", 20), ("a", 10), ("n", None), ("m", None)), 1)
+    add(rows().limit(0), 2)
+    held = spark.read.parquet(f"{tmp_path}/t")
+    assert sorted(r["id"] for r in held.collect()) == ["a", "b", "c", "m", "n"] and held.select("_day").distinct().count() == 3
+
+
+def test_delivery_comes_before_the_mark(spark, tmp_path):
+    got, fail = [], [True]
+
+    def deliver(rows):
+        if fail[0]:
+            raise RuntimeError("not reached")
+        got.extend(r["id"] for r in rows.collect())
+
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("a", 1)], "id string, n int")
+    run = E.deliver_then_mark(deliver, f"{tmp_path}/marks", ["id"])
+    with pytest.raises(RuntimeError):
+        run(rows, 0)
+    fail[0] = False
+    run(rows, 0)
+    run(rows, 0)
+    run(spark.createDataFrame([("b", 2), ("c", 3)], "id string, n int"), 1)
+    run(rows.limit(0), 2)
+    assert sorted(got) == ["a", "b", "c"]

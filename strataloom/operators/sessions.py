@@ -139,6 +139,6 @@ def trailing_count(rows: DataFrame, owner: str, at: str, seconds: int = 3600) ->
 
 
 def lookback(rows: DataFrame, at: str, day: Column, hours: int = 3) -> DataFrame:
-    """Rows of a UTC day and of the ``hours`` before it (half open)."""
+    """Rows of a UTC day and of the ``hours`` before it (half open); for a constant day a range of times that reaches the scan."""
     start = F.unix_date(day).cast("bigint") * 86400
-    return rows.filter((F.unix_seconds(at) >= start - hours * 3600) & (F.unix_seconds(at) < start + 86400))
+    return rows.filter((F.col(at) >= F.timestamp_seconds(start - hours * 3600)) & (F.col(at) < F.timestamp_seconds(start + 86400)))

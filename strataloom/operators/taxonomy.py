@@ -35,15 +35,31 @@ def normalize_tags(rows: DataFrame, vocabulary: DataFrame, aliases: DataFrame |
     return tags.groupBy(key).agg(in_order(kept).alias("canonical_tags"), in_order(unknown).alias("unknown_tags"))
 
 
-def classify_tags(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Each distinct tag with its class: ``empty``, ``namespaced``, ``canonical`` (as written), ``variant`` or ``unknown``."""
+def classify_tags(rows: DataFrame, vocabulary: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """Each distinct tag with its class: ``empty``, ``namespaced``, ``canonical`` (as written), ``variant`` or ``unknown``.
+
+    With ``aliases`` (``alias_key, target``) also ``aliased`` and, for a null target, ``dropped``; these come before the vocabulary.
+    """
     tags = rows.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
     joined = tags.withColumn("key", tag_key(F.col("tag"))).join(folded(vocabulary, vocabulary.columns[0]), "key", "left")
     kind = (
         F.when(F.col("tag").isNull() | (F.trim("tag") == ""), "empty").when(namespaced(F.col("tag")), "namespaced").when(F.col("canonical") == F.col("tag"), "canonical")
         .when(F.col("canonical").isNotNull(), "variant").otherwise("unknown")
     )
-    return joined.select("tag", "n", kind.alias("kind"), "canonical")
+    classes = joined.select("tag", "n", kind.alias("kind"), "canonical", "key")
+    if aliases is None:
+        return classes.drop("key")
+    known = aliases.select(F.col("alias_key").alias("key"), "target", F.lit(True).alias("_hit"))
+    hit = F.coalesce(F.col("_hit") & ~F.col("kind").isin("empty", "namespaced"), F.lit(False))
+    kind = F.when(hit & F.col("target").isNull(), "dropped").when(hit, "aliased").otherwise(F.col("kind"))
+    return classes.join(known, "key", "left").select("tag", "n", kind.alias("kind"), F.when(hit, F.col("target")).otherwise(F.col("canonical")).alias("canonical"))
+
+
+def cross_tagged(tags: Column, text: Column, markers: list[str], tag: str) -> Column:
+    """``tags`` and, where ``text`` contains one of the markers (without regard to case), ``tag`` after them."""
+    marked = F.coalesce(F.exists(F.array(*[F.lit(m.lower()) for m in markers]), lambda m: F.contains(F.lower(text), m)), F.lit(False))
+    tags = F.coalesce(tags, F.array().cast("array<string>"))
+    return F.when(marked, F.array_union(tags, F.array(F.lit(tag)))).otherwise(tags)
 
 
 def violations(rows: DataFrame, vocabulary: DataFrame, key: str = "id") -> DataFrame:

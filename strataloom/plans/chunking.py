@@ -93,7 +93,7 @@ def misfiled(spark, d):
     """Records filed under two domains that speak of networks by word or tag, newest first."""
     k = records(spark, d, "domain", "status", "content", "tags", "created_at")
     speaks = F.col("content").rlike(r"(?i)\b(switch|router|vlan|trunk port)") | F.coalesce(F.arrays_overlap("tags", F.array(F.lit("Switch"), F.lit("VLAN"))), F.lit(False))
-    return k.filter(F.col("domain").isin("Personal", "Study") & (F.col("status") == "current") & speaks).select("id", F.substring("content", 1, 140).alias("preview"), F.unix_seconds("created_at").alias("at_s"))
+    return k.filter(F.col("domain").isin("Personal", "Study") & (F.col("status") == "current") & speaks).select("id", F.substring("content", 1, 140).alias("preview"), F.unix_seconds("created_at").alias("at_s")).orderBy(F.desc_nulls_last("at_s"), "id")
 
 
 def prefix_purge(spark, d):

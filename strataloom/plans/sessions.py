@@ -51,7 +51,7 @@ def trailing_hour_rate(spark, d):
 
 
 def lookback_scan(spark, d):
-    return S.lookback(_log(spark, d), "created_at", F.to_date(F.lit("2026-02-01"))).select("id", F.unix_seconds("created_at").alias("at_s"))
+    return S.lookback(table(spark, d, "query_log"), "created_at", F.to_date(F.lit("2026-02-01"))).dropDuplicates(["id"]).select("id", F.unix_seconds("created_at").alias("at_s"))
 
 
 def range_scan(spark, d):

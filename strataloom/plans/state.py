@@ -8,6 +8,8 @@ from strataloom.functions.ids import uuid_of
 from strataloom.functions.times import local_time
 from strataloom.operators import lifecycle as L
 from strataloom.operators import reports as R
+from strataloom.operators import sessions as S
+from strataloom.operators import taxonomy as T
 from strataloom.operators import writes as W
 from strataloom.plans.lifecycle import _EV, _PAIRS, _W, _events
 from strataloom.plans.more import ORACLES as _MORE
@@ -15,11 +17,13 @@ from strataloom.plans.more import plan_candidates
 from strataloom.plans.reports import one, ref
 from strataloom.plans.search import _BOOST, _corpus, _ranked, _sql
 from strataloom.plans.sessions import _LOG, _log, pages
-from strataloom.plans.taxonomy import _NO_ALIAS, _normalized, proposals, tag_key_sql
+from strataloom.plans.taxonomy import _ALIAS_ROWS, _NO_ALIAS, _aliases, _normalized, proposals, tag_key_sql
+from strataloom.plans.taxonomy import ORACLES as _TAGS
 from strataloom.sources.tables import records, table
 
 #: When a first run of the incremental queries took place.
 CUT, ZONE = "2026-03-01 00:00:00", "America/Los_Angeles"
+DAY, MARKERS = "2026-02-01", ["backup", "restore"]
 SCOPES = {"default": {}, "any": {"status": None}, "facets": {"domain": "Network", "environment": "Lab", "colour": "red"}, "blank": {"status": "superseded", "system": ""}}
 
 
@@ -125,10 +129,44 @@ def owner_names(spark, d):
     return t.groupBy("owner_name").agg(F.count(F.lit(1)).alias("n"))
 
 
+def day_scan(spark, d):
+    """The queries of one day; repeated rows are unchanged, so the day is cut out first."""
+    return S.lookback(table(spark, d, "query_log"), "created_at", F.to_date(F.lit(DAY)), hours=0).dropDuplicates(["id"]).select("id", "owner", "mode")
+
+
+def owned_requests(spark, d):
+    """Requests of an owner: who asked, who decided, else the owner that the evidence names."""
+    r = table(spark, d, "retirement_requests").select("id", "requested_by", "decided_by", "evidence").distinct()
+    named = F.coalesce(F.nullif(F.trim("decided_by"), F.lit("")), F.nullif(F.trim("requested_by"), F.lit("")))
+    return r.filter((named == "owner_0001") | (F.get_json_object("evidence", "$.owner") == "owner_0001")).select(F.lower("id").alias("id"), named.alias("named"))
+
+
+def tag_audit(spark, d):
+    """Tags by class, aliases and dropped ones told apart."""
+    c = T.classify_tags(records(spark, d, "tags"), table(spark, d, "tag_vocabulary"), _aliases(spark))
+    return c.groupBy("kind").agg(F.count(F.lit(1)).alias("n_tags"), F.sum("n").alias("n_uses"), F.countDistinct("canonical").alias("n_canonical"))
+
+
+def marker_tags(spark, d):
+    """Records whose text names backups get a tag more."""
+    k = records(spark, d, "tags", "content").select("id", T.cross_tagged(F.col("tags"), F.col("content"), MARKERS, "Backup").alias("t"))
+    return k.select("id", F.array_join("t", "|").alias("tags"))
+
+
+def pass_rate(spark, d, asks=None):
+    """How many questions find their own system's name in one of their first two hits, without regard to case, per confidence of the first."""
+    k = _corpus(spark, d, asks)
+    r = _ranked(k).filter("place < 2").select("qid", "id", "place", "confidence")
+    r = r.join(k.select("id", F.lower("content").alias("text")), "id").join(k.filter("asks").select(F.col("id").alias("qid"), F.lower("system").alias("wanted")), "qid")
+    per = r.groupBy("qid").agg(F.max(F.coalesce(F.contains("text", "wanted"), F.lit(False))).alias("passed"), F.min_by("confidence", "place").alias("confidence"))
+    return per.groupBy("confidence").agg(F.count(F.lit(1)).alias("n"), F.count_if("passed").alias("n_passed"), F.round(F.avg(F.col("passed").cast("int")), 6).alias("share"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         current_state, scope_counts, undeclared_candidates, pair_survivors, new_contradictions, page_upsert, promoted_records, inserted_ids, component_ranks, section_totals, tag_review_queue, event_times, undelivered_flags, owner_names,
+        day_scan, owned_requests, tag_audit, marker_tags, pass_rate,
     )
 }
 
@@ -165,5 +203,15 @@ ORACLES = {
         select {tag_key_sql('tag')} as key, count(*) as n, min(tag) as spelling, min(id) as sample_id, max(s) as last_s from u join seen using (id) group by 1 order by n desc, last_s desc nulls last, key""",
     "event_times": f"select distinct id, strftime(occurred_at at time zone '{ZONE}', '%a %b %d, %-I:%M %p') as shown from supersession_events",
     "undelivered_flags": f"with {_LOG} select id, owner from lg where flagged and not {_BEFORE}",
+    "day_scan": f"with {_LOG} select id, owner, mode from lg where (created_at at time zone 'UTC')::date = date '{DAY}'",
+    "owned_requests": """with r as (select distinct lower(id) as id, coalesce(nullif(trim(decided_by), ''), nullif(trim(requested_by), '')) as named, evidence from retirement_requests)
+        select id, named from r where coalesce(named = 'owner_0001', false) or coalesce(evidence::json ->> '$.owner' = 'owner_0001', false)""",
+    "tag_audit": f"""with al(alias_key, target) as (values {_ALIAS_ROWS}), c as ({_TAGS['tag_classes']}), x as (select n, case when kind in ('empty', 'namespaced') or alias_key is null then kind when target is null then 'dropped' else 'aliased' end as kind,
+          case when kind in ('empty', 'namespaced') or alias_key is null then canonical else target end as canonical from c left join al on alias_key = {tag_key_sql('tag')})
+        select kind, count(*) as n_tags, sum(n)::bigint as n_uses, count(distinct canonical) as n_canonical from x group by kind""",
+    "marker_tags": f"""select id, array_to_string(case when {' or '.join(f"coalesce(contains(lower(content), '{m}'), false)" for m in MARKERS)} then list_transform(list_filter(list_zip(t || ['Backup'], range(len(t) + 1)), lambda x: list_position(t || ['Backup'], x[1]) = x[2] + 1), lambda x: x[1]) else t end, '|') as tags
+        from (select id, content, coalesce(tags, []) as t from {one('tags', 'content')})""",
+    "pass_rate": _sql(""", x as (select r.qid, bool_or(coalesce(contains(lower(a.content), lower(b.system)), false)) as passed, arg_min(confidence, place) as confidence from r join k a on a.id = r.id join k b on b.id = r.qid where place < 2 group by r.qid)
+        select confidence, count(*) as n, count(*) filter (where passed) as n_passed, round(avg(passed::int), 6) as share from x group by confidence"""),
     "owner_names": "select lower(coalesce(nullif(trim(owner), ''), nullif(trim(source), ''), 'unknown')) as owner_name, count(*) as n from documents group by 1",
 }
